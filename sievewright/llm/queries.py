@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import chat_format, fingerprints, html_extract, language_id, substring_dedup, toxicity
+from sievewright.llm import chat_format, decontamination, fingerprints, html_extract, language_id, line_dedup, minhash_near_dedup, mixing, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -37,11 +41,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_leaks(docs, _table(spark, sf_dir, "benchmark"), "leaks")
+    items = F.array_sort(F.array_distinct(F.col("leaks.item_id")))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), "leaks")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(chat_format.planted_conversation(spark))
     return chat_format.digests(chat_format.format_conversations(chat_format.events_of(rows)), arranged=True)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~_fold(5, 0)))
@@ -49,16 +65,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
     "op6_chat_format": op6_chat_format,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_source_mixing": op9_source_mixing,
     "op10_html_extract": op10_html_extract,
 }
 

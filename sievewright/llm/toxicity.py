@@ -32,10 +32,11 @@ from sievewright.llm.durable import written
 
 #: Fixed cues of reported speech, in the languages at hand.
 CUES = {"said", "says", "called", "quote", "quoted", "quoting", "wrote", "term", "word", "sagte", "nannte", "zitat", "wort", "dit", "mot", "dijo", "palabra"}
-_QUOTES = '"“”«»„'
 #: Letters of the stems that are counted beside whole words.
 STEM_LETTERS = (4, 5, 6, 7, 8)
 KINDS = ("exact", "misspelled", "exact quoted", "misspelled quoted")
+#: What quotation takes out of a text while terms are chosen: marked passages, and words after a cue.
+_QUOTATION = re.compile(r'"[^"\n]{0,400}"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|„[^“”\n]{0,400}[“”]|\b(?:' + "|".join(sorted(CUES)) + r")\b(?:\W+\w+){0,5}")
 _alnum: list[np.ndarray] = []
 
 
@@ -192,7 +193,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("sw_toxic").to_pylist(), strict=True):
-            found = set(re.findall(r"[^\W_]{3,30}", (text or "").lower()))
+            found = set(re.findall(r"[^\W_]{3,30}", _QUOTATION.sub(" ", (text or "").lower())))
             stems = {f"{w[:n]}*" for w in found for n in STEM_LETTERS if len(w) > n}
             for term in found | stems:
                 counts.setdefault(term, [0, 0])[toxic] += 1
