@@ -53,7 +53,7 @@ def corpus_summary(checked: DataFrame, failed: Column | None = None) -> DataFram
         F.count_if(~F.coalesce("matches", F.lit(True))).alias("n_mismatches"),
         F.count_if(broken | ~F.coalesce("matches", F.lit(True))).alias("n_failed"),
         F.count_if(~F.coalesce("safe_to_forward", F.lit(False))).alias("n_blocked"),
-        *[F.count_if(verdict == v).alias(f"n_{v}") for v in ("safe", "suspicious", "unsafe", "failed")],
+        *[F.count_if(verdict == v).alias(f"n_{v}") for v in ("safe", "suspicious", "unsafe")],
     )
 
 
