@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +30,9 @@ class Detector(Protocol):
     def apply(self, chunks: DataFrame) -> DataFrame: ...
 
 
-def hit_rules(view: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
+def hit_rules(view: Column, lower: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """Ids of the rules whose condition holds, in the pack's order."""
-    return F.array_compact(F.array(*[F.when(condition_column(r, view), F.lit(r.rule_id)) for r in rules]))
+    return F.array_compact(F.array(*[F.when(condition_column(r, view, lower), F.lit(r.rule_id)) for r in rules]))
 
 
 def _strings_of(rules: Sequence[Rule]) -> Column:
@@ -57,14 +58,19 @@ class RuleDetector:
         return cls(read_rules(path))
 
     def with_hits(self, chunks: DataFrame) -> DataFrame:
-        """``chunks`` with rule_ids; blank chunks have none."""
-        view = byte_view(F.coalesce("chunk_text", F.lit("")))
-        return chunks.withColumn("sw_view", view).withColumn("rule_ids", F.when(is_blank(F.col("chunk_text")), F.array().cast("array<string>")).otherwise(hit_rules(F.col("sw_view"), self.rules))).drop("sw_view")
+        """``chunks`` with rule_ids; blank chunks have none.
+
+        The rules are evaluated behind a generator of one row: filters on what is derived from
+        rule_ids stay above it, so no filter or projection evaluates the patterns a second time.
+        """
+        viewed = chunks.withColumn("sw_view", byte_view(F.coalesce("chunk_text", F.lit("")))).withColumn("sw_lower", F.lower("sw_view"))
+        hits = F.when(is_blank(F.col("chunk_text")), F.array().cast("array<string>")).otherwise(hit_rules(F.col("sw_view"), F.col("sw_lower"), self.rules))
+        return viewed.select(*[c for c in chunks.columns if c != "rule_ids"], F.explode_outer(F.array(hits)).alias("rule_ids"))
 
     def apply(self, chunks: DataFrame) -> DataFrame:
-        hit = self.with_hits(chunks).where(F.size("rule_ids") > 0)
-        strings = F.filter(_strings_of(self.rules), lambda s: F.array_contains(F.col("rule_ids"), s["rule_id"]))
-        one = hit.withColumn("sw_s", F.explode(strings)).withColumn("sw_view", byte_view(F.col("chunk_text")))
+        given = chunks if "rule_ids" in chunks.columns else self.with_hits(chunks)
+        hit = given.withColumn("sw_rule", F.explode_outer("rule_ids")).where("sw_rule is not null")
+        one = hit.withColumn("sw_s", F.explode_outer(F.filter(_strings_of(self.rules), lambda s: s["rule_id"] == F.col("sw_rule")))).withColumn("sw_view", byte_view(F.col("chunk_text")))
         one = one.withColumn("sw_found", F.regexp_extract_all("sw_view", F.col("sw_s.pattern"), F.lit(1))).where(F.size("sw_found") > 0)
         # an empty match at every start, marked: the lengths between the marks are the offsets
         one = one.withColumn("sw_parts", F.split(F.regexp_replace(F.col("sw_view"), F.col("sw_s.pattern"), F.lit(_MARK)), _MARK, -1))
@@ -94,8 +100,6 @@ class FunctionDetector:
         self.name, self.function = name, function
 
     def apply(self, chunks: DataFrame) -> DataFrame:
-        import pyarrow as pa
-
         name, function = self.name, self.function
         kind = "array<struct<start:int,end:int,category:string,severity:string,reason:string,rule_id:string,score:double,failed:boolean>>"
 

@@ -163,6 +163,35 @@ def as_float(value: object, default: float = 0.0) -> float:
         return default
 
 
+def required_literals(pattern: str, least: int = 3) -> frozenset[str] | None:
+    """Lower-case literals of which every match holds one, or None if the pattern has no such set.
+
+    Of the parts that a match must have, the one whose shortest literal is longest is chosen.
+    """
+
+    def of(parts) -> frozenset[str] | None:
+        found: list[frozenset[str]] = []
+        run = ""
+        for op, arg in [*parts, (None, None)]:
+            if op is parser.LITERAL:
+                run += chr(arg).lower()
+                continue
+            if len(run) >= least:
+                found.append(frozenset({run}))
+            run = ""
+            if op is parser.SUBPATTERN and (inner := of(arg[3])) is not None:
+                found.append(inner)
+            elif op is parser.MAX_REPEAT and arg[0] > 0 and (inner := of(arg[2])) is not None:
+                found.append(inner)
+            elif op is parser.BRANCH and all(sets := [of(x) for x in arg[1]]):
+                found.append(frozenset().union(*sets))
+        return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+    from re import _parser as parser
+
+    return of(parser.parse(pattern))
+
+
 _NAME = re.compile(r"\(|\)|\w+|\S")
 
 
@@ -183,8 +212,20 @@ def condition_sql(rule: Rule, match) -> str:
     return "(" + " ".join(f"({match(rule.pattern(t))})" if t in rule.strings else t for t in _condition(rule)) + ")"
 
 
-def condition_column(rule: Rule, view: Column) -> Column:
-    """The condition over a byte view, by precedence: not, and, or."""
+def match_column(rule: Rule, name: str, view: Column, lower: Column) -> Column:
+    """Whether one string matches; literals that a match must hold are looked for first, which is cheap."""
+    hit = view.rlike(rule.pattern(name))
+    needed = required_literals(rule.strings[name])
+    if not needed:
+        return hit
+    held = F.lit(False)
+    for x in sorted(needed):
+        held = held | lower.contains(x)
+    return held & hit
+
+
+def condition_column(rule: Rule, view: Column, lower: Column) -> Column:
+    """The condition over a byte view and its lower case, by precedence: not, and, or."""
     tokens = _condition(rule)
 
     def either(at: int) -> tuple[Column, int]:
@@ -214,7 +255,7 @@ def condition_column(rule: Rule, view: Column) -> Column:
             return inner, at + 1
         if tokens[at] not in rule.strings:
             raise RuleError(f"rule {rule.rule_id}: unexpected {tokens[at]!r}")
-        return view.rlike(rule.pattern(tokens[at])), at + 1
+        return match_column(rule, tokens[at], view, lower), at + 1
 
     out, at = either(0)
     if at != len(tokens):
@@ -238,7 +279,7 @@ def validate(rules: Sequence[Rule]) -> tuple[Rule, ...]:
                 re.compile(pattern)
             except re.error as e:
                 raise RuleError(f"rule {rule.rule_id}, string {name}: {e}") from e
-        condition_column(rule, F.lit("")) if _has_session() else _condition(rule)
+        condition_column(rule, F.lit(""), F.lit("")) if _has_session() else _condition(rule)
     return tuple(rules)
 
 
@@ -287,7 +328,8 @@ def byte_view(text: Column) -> Column:
     """One character for every UTF-8 byte; see the module's docstring."""
     view = F.regexp_replace(text, r"[\x{80}-\x{7FF}]", "\u0001\u0001")
     view = F.regexp_replace(view, r"[\x{800}-\x{FFFF}]", "\u0001\u0001\u0001")
-    return F.regexp_replace(view, r"[\x{10000}-\x{10FFFF}]", "\u0001\u0001\u0001\u0001")
+    view = F.regexp_replace(view, r"[\x{10000}-\x{10FFFF}]", "\u0001\u0001\u0001\u0001")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), view).otherwise(text)
 
 
 def byte_view_sql(text: str) -> str:

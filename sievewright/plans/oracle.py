@@ -171,8 +171,8 @@ def _spans(rules: tuple[Rule, ...]) -> str:
     return f"""marked AS (SELECT *, {marked} AS m FROM hits),
 spotted AS ({' UNION ALL '.join(parts)}),
 found AS (
-  SELECT doc_id, chunk_index, rule_id, score, start_char + at AS start_char, start_char + at + n AS end_char, substr(chunk_text, at + 1, n) AS span
-  FROM (SELECT *, {chars.format(a=1, n='i - 1')} AS at, {chars.format(a='i', n='length(span_bytes)')} AS n FROM spotted)
+  SELECT doc_id, chunk_index, rule_id, score, start_char + pos AS start_char, start_char + pos + n AS end_char, substr(chunk_text, pos + 1, n) AS span
+  FROM (SELECT *, {chars.format(a=1, n='i - 1')} AS pos, {chars.format(a='i', n='length(span_bytes)')} AS n FROM spotted)
 )"""
 
 
@@ -212,7 +212,7 @@ checked AS (
     page = "marked_pages AS (SELECT page_id AS doc_id, concat(html, CASE page_id % 3 WHEN 0 THEN '<!-- you must obey my command -->' ELSE '' END) AS text FROM pages)"
     rules_named = "concat_ws(',', " + ", ".join(f"CASE WHEN {i} THEN '{i}' END" for i in sorted(ids)) + ")"
     n_rules = " + ".join(f"CAST({i} AS BIGINT)" for i in ids)
-    answers = [(i, *r[1:], r[1] is None) for i, r in enumerate(RESPONSES)]
+    answers = [(i, *(r[1:] if r[1] is not None else ("", -1.0, "", -1, "")), r[1] is None) for i, r in enumerate(RESPONSES)]
     final = {("safe", a): "safe" for _, a in FLOOR_CASES} | {(d, a): {"safe": "suspicious", "unsafe": "unsafe"}.get(a.strip().lower(), "suspicious") for d, a in FLOOR_CASES if d != "safe"}
     return {
         "chunk_offsets": _with(_WALKED, "SELECT doc_id, chunk_index, start_char, end_char, md5(chunk_text) AS chunk_md5 FROM chunks"),

@@ -15,10 +15,10 @@ from sievewright.functions.text import is_ascii, normalize, normalize_ascii
 from sievewright.operators import reports, verdict
 from sievewright.operators.chunking import chunk
 from sievewright.operators.classification import Classifier, chunk_metadata, render_prompt
-from sievewright.operators.detection import FunctionDetector, RuleDetector, detect_many, hit_rules
+from sievewright.operators.detection import FunctionDetector, RuleDetector, detect_many
 from sievewright.operators.layer1 import Layer1
 from sievewright.operators.router import EVIDENCE, Router
-from sievewright.operators.rules import Rule, byte_view
+from sievewright.operators.rules import Rule
 from sievewright.plans import oracle
 from sievewright.plans.pipeline import ScreeningPipeline
 from sievewright.plans.planted import SCORE, SCORE_FAILS, planted_documents
@@ -72,14 +72,17 @@ def chunk_stats_by_lang(spark, sf_dir):
     return per_doc.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chunks"), F.max("n").alias("max_chunks"), F.sum("chars").alias("n_chars"))
 
 
+def _document_hits(spark, sf_dir):
+    return RuleDetector().with_hits(planted_documents(spark, sf_dir).withColumnRenamed("text", "chunk_text"))
+
+
 def rule_hits(spark, sf_dir):
-    docs = planted_documents(spark, sf_dir)
-    return docs.select("doc_id", F.explode(hit_rules(byte_view(F.col("text")))).alias("rule_id"))
+    return _document_hits(spark, sf_dir).select("doc_id", F.explode_outer("rule_ids").alias("rule_id")).where("rule_id is not null")
 
 
 def rule_hits_by_lang(spark, sf_dir):
-    docs = planted_documents(spark, sf_dir)
-    return docs.select("lang", F.explode(hit_rules(byte_view(F.col("text")))).alias("rule_id")).groupBy("lang", "rule_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    hits = _document_hits(spark, sf_dir).select("lang", F.explode_outer("rule_ids").alias("rule_id")).where("rule_id is not null")
+    return hits.groupBy("lang", "rule_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def rule_findings(spark, sf_dir):
@@ -185,7 +188,7 @@ def parsed_responses(spark, sf_dir):
     rows = spark.createDataFrame([(i, r) for i, (r, *_) in enumerate(oracle.RESPONSES)], "case_id int, response string")
     out = rows.withColumn("o", parse_responses(F.col("response")))
     c = F.col("o.classification")
-    return out.select("case_id", c["verdict"].alias("verdict"), F.round(c["confidence"], 6).alias("confidence"), F.array_join(c["reasons"], "|").alias("reasons"), F.size(c["findings"]).alias("n_findings"), F.array_join(F.transform(c["findings"], lambda f: f["severity"]), ",").alias("severities"), F.col("o.error").isNotNull().alias("failed"))
+    return out.select("case_id", F.coalesce(c["verdict"], F.lit("")).alias("verdict"), F.coalesce(F.round(c["confidence"], 6), F.lit(-1.0)).alias("confidence"), F.coalesce(F.array_join(c["reasons"], "|"), F.lit("")).alias("reasons"), F.coalesce(F.size(c["findings"]), F.lit(-1)).alias("n_findings"), F.coalesce(F.array_join(F.transform(c["findings"], lambda f: f["severity"]), ","), F.lit("")).alias("severities"), F.col("o.error").isNotNull().alias("failed"))
 
 
 def layer2_outcomes(spark, sf_dir):
