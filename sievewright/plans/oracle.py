@@ -50,7 +50,7 @@ RESPONSES = [
     ('{"verdict": "unsafe", "confidence": 0.5, ', "unsafe", 0.5, "", 0, ""),
     ('{"verdict": "unsafe", "confidence":', "unsafe", 0.0, "", 0, ""),
     ('{"verdict": "safe", "reasons": ["x\\', "safe", 0.0, "x", 0, ""),
-    ('{"verdict": "unsafe", "findings": [{"span": "a", "severity": "low"}, {"span": "b", "sev', "unsafe", 0.0, "", 2, "low,medium"),
+    ('{"verdict": "unsafe", "findings": [{"span": "a", "severity": "low"}, {"span": "b", "sev', "unsafe", 0.0, "", 1, "low"),
     ("}}}}}", None, None, None, None, None),
     ("[" * 10000, None, None, None, None, None),
     ("[1, 2]", None, None, None, None, None),
@@ -265,7 +265,7 @@ united AS (SELECT doc_id, chunk_index, category, severity, rule_id, llm, start_c
             f"SELECT doc_id, chunk_index, decision, round(risk_score, 4) AS risk_score, round(pg_score, 4) AS pg_score, round(yara_score, 4) AS yara_score, final_verdict, coalesce(n, 0) AS n_rule_findings, CAST(routed AND pg_score > 0 AND NOT ({' OR '.join(ids)}) AS BIGINT) AS n_score_findings FROM results LEFT JOIN n_found USING (doc_id, chunk_index)",
         ),
         "document_report": _with(_RESULTS, report),
-        "expectation_checks": _with(checked, "SELECT doc_id, verdict, safe_to_forward, expected_verdict, matches FROM checked"),
+        "expectation_checks": _with(checked, "SELECT doc_id, verdict, safe_to_forward, coalesce(expected_verdict, '') AS expected_verdict, coalesce(CAST(matches AS VARCHAR), 'none') AS matches FROM checked"),
         "corpus_summary": _with(
             checked,
             f"SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_runtime_failures, count(*) FILTER (NOT matches) AS n_mismatches, count(*) FILTER (NOT matches) AS n_failed, count(*) FILTER (NOT safe_to_forward) AS n_blocked, {', '.join(count('verdict', v, 'n') for v in ('safe', 'suspicious', 'unsafe'))} FROM checked",

@@ -229,7 +229,7 @@ def _checked(spark, sf_dir):
 
 
 def expectation_checks(spark, sf_dir):
-    return _checked(spark, sf_dir).select("doc_id", "verdict", "safe_to_forward", "expected_verdict", "matches")
+    return _checked(spark, sf_dir).select("doc_id", "verdict", "safe_to_forward", F.coalesce("expected_verdict", F.lit("")).alias("expected_verdict"), F.coalesce(F.col("matches").cast("string"), F.lit("none")).alias("matches"))
 
 
 def corpus_summary(spark, sf_dir):
