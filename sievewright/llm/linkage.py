@@ -1,15 +1,17 @@
 """Connected groups of members that share nodes, without pairs inside a group.
 
 Near-duplicate operators put their members (distinct texts, never copies) into nodes: buckets whose
-members may be alike.  What is wanted is the connected groups of the verified links, so it isn't
-needed to form every pair of a node:
+members may be alike.  Wanted are the connected groups of the exact links, so it isn't needed to
+form every pair of a node.
 
-1. every member of a node is paired with the node's first member only, and plausible pairs are
-   verified on their full texts;
-2. nodes whose members are all in one group by now are done.  In the others each member is compared
-   with every member of another group, exhaustively, node by node; large nodes are cut into blocks
-   of members and each pair of blocks is a task of its own, so no task grows with a node.  The
-   comparison uses short sketches; pairs that may be links are verified like the first ones.
+1. Every member of a node is paired with the node's centre only: the member nearest to the
+   coordinate-wise mode of the node's sketches, which in a group of edited copies is the text that
+   they come from.  Pairs that may be links by their sketches are verified on their full texts.
+2. Nodes whose members are all in one group by now are done.  In the others each member is compared
+   with every member of another group, exhaustively: first by sketches, which leaves the members
+   that may have a link to another group, then exactly, on full texts.  Large nodes are cut into
+   blocks of members and each pair of blocks is a task of its own, so no task grows with a node.  A
+   task gives back links that join groups, never all pairs.
 
 A link between two groups is therefore never lost, and a node of n members of one group costs n
 comparisons.  Intermediate tables are written to the shared folder.
@@ -84,36 +86,170 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(compare: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """Candidate pairs (across groups) of rows sorted by task; a task has the members of two blocks."""
-
-    def pairs(task: list) -> Iterator[pa.RecordBatch]:
-        member, group = np.array([x[0] for x in task], np.int64), np.array([x[1] for x in task], np.int64)
-        block = np.array([x[2] for x in task])
-        sketch = np.stack([np.frombuffer(x[3], np.uint8) for x in task])
-        left = block == block.min()
-        right = ~left if not left.all() else left
-        li, ri = np.flatnonzero(left), np.flatnonzero(right)
-        for at in range(0, len(li), 64):
-            part = li[at : at + 64]
-            ok = compare(sketch[part], sketch[ri]) & (group[part][:, None] != group[ri][None, :])
-            x, y = np.nonzero(ok)
-            if len(x):
-                a, b = member[part[x]], member[ri[y]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], fields: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Groups of rows sorted by ``keys``; callers see one group at a time."""
+    key, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*keys, *fields)]
+        for row in zip(*columns, strict=True):
+            if row[: len(keys)] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[: len(keys)], []
+            rows.append(row[len(keys) :])
+    if rows:
+        yield key, rows
+
+
+def _modes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Most frequent byte of every coordinate, with its count, of sorted (node, salt, sketch, weight) rows."""
+    out: list[tuple] = []
+    key, counts = None, None
+
+    def close() -> None:
+        if key is not None:
+            top = counts.argmax(axis=1)
+            out.append((key, top.astype(np.uint8).tobytes(), counts[np.arange(len(top)), top].astype(np.int32).tobytes()))
+
+    for batch in batches:
+        for node, salt, sketch, weight in zip(*(batch.column(c).to_pylist() for c in ("node", "salt", "sketch", "weight")), strict=True):
+            if (node, salt) != key:
+                close()
+                key, counts = (node, salt), np.zeros((len(sketch), 256), np.int64)
+            counts[np.arange(len(sketch)), np.frombuffer(sketch, np.uint8)] += 1 if weight is None else np.frombuffer(weight, np.int32)
+        if len(out) > 4096:
+            yield _mode_batch(out)
+            out.clear()
+    close()
+    if out:
+        yield _mode_batch(out)
+
+
+def _mode_batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["node", "sketch", "weight"])
+
+
+_MODE = "node long, sketch binary, weight binary"
+
+
+def _matrix(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            same = (_matrix(batch.column("sketch").to_pylist()) == _matrix(batch.column("mode").to_pylist())).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("member"), pa.array(same.astype(np.int32))], names=["node", "member", "same"])
+
+
+def _near_centre(near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("sketch").to_pylist(), batch.column("centre_sketch").to_pylist()
+            ok = pa.array([bool(near(_matrix([a]), _matrix([b]))[0, 0]) for a, b in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("centre").filter(ok), batch.column("member").filter(ok)], names=["a", "b"])
+
+    return run
+
+
+def first_pairs(shared: DataFrame, sketched: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Distinct pairs (a, b) of each node's centre with its members that may be links.
+
+    The mode is taken in two levels, over salts and then over the salts' modes, so a hot node is
+    spread; it only serves to choose the centre.
+    """
+    salted = sketched.select("node", F.pmod(F.xxhash64("member"), F.lit(16)).alias("salt"), "sketch", F.lit(None).cast("binary").alias("weight"))
+    parts = salted.repartition("node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_modes, _MODE)
+    modes = parts.select("node", F.lit(0).cast("long").alias("salt"), "sketch", "weight").repartition("node").sortWithinPartitions("node").mapInArrow(_modes, _MODE)
+    modes = written(modes.select("node", F.col("sketch").alias("mode")), "modes")
+    scored = sketched.join(modes, "node").select("node", "member", "sketch", "mode").mapInArrow(_agreement, "node long, member long, same int")
+    centres = scored.groupBy("node").agg(F.max(F.struct(F.col("same"), (-F.col("member")).alias("least"))).alias("c")).select("node", (-F.col("c.least")).alias("centre"))
+    centres = written(centres, "centres")
+    centre_sketches = centres.join(sketched.select("node", F.col("member").alias("centre"), F.col("sketch").alias("centre_sketch")), ["node", "centre"])
+    pairs = sketched.join(written(centre_sketches, "centres"), "node").where("member <> centre").select("centre", "member", "sketch", "centre_sketch")
+    return pairs.mapInArrow(_near_centre(near), _PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_tasks(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` (node, member, component, ...) dealt to tasks (node, i, j), one for each pair of blocks."""
+    size = written(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "block-counts")
+    rows = rows.join(size, "node").withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
+    return rows.repartition(partitions(rows.sparkSession), "node", "i", "j").sortWithinPartitions("node", "i", "j")
+
+
+def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a task (twice the same ones for a block with itself)."""
+    block = np.array([r[0] for r in rows])
+    left = block == block.min()
+    return np.flatnonzero(left), np.flatnonzero(left) if left.all() else np.flatnonzero(~left)
+
+
+def _partnered(near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """(node, member) of members with a plausible partner in another group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[int] = []
+        members: list[int] = []
+        for (node, _, _), rows in _groups(batches, ("node", "i", "j"), ("block", "member", "component", "sketch")):
+            left, right = _sides(rows)
+            group, sketch = np.array([r[2] for r in rows], np.int64), _matrix([r[3] for r in rows])
+            hit = np.zeros(len(rows), bool)
+            for at in range(0, len(left), 64):
+                part = left[at : at + 64]
+                ok = near(sketch[part], sketch[right]) & (group[part][:, None] != group[right][None, :])
+                hit[part] |= ok.any(axis=1)
+                hit[right] |= ok.any(axis=0)
+            found = [rows[i][1] for i in np.flatnonzero(hit)]
+            nodes += [node] * len(found)
+            members += found
+            if len(members) > 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.int64())], names=["node", "member"])
+                nodes, members = [], []
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.int64())], names=["node", "member"])
+
+    return run
+
+
+def _joining(near, links):
+    """Links (a, b) that join groups, by comparing the full texts of plausible pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, ("node", "i", "j"), ("block", "member", "component", "sketch", "payload")):
+            left, right = _sides(rows)
+            head: dict[int, int] = {}
+
+            def root(x: int, head=head) -> int:
+                while (up := head.get(x, x)) != x:
+                    head[x] = head.get(up, up)
+                    x = up
+                return x
+
+            group, sketch, payload = np.array([r[2] for r in rows], np.int64), _matrix([r[3] for r in rows]), [r[4] for r in rows]
+            ok = near(sketch[left], sketch[right]) & (group[left][:, None] != group[right][None, :])
+            out = []
+            compared = links([payload[i] for i in left], [payload[i] for i in right], ok)
+            for x, y in zip(*np.nonzero(ok), strict=True):
+                a, b = int(left[x]), int(right[y])
+                one, other = root(int(group[a])), root(int(group[b]))
+                if one != other and compared(int(x), int(y)):
+                    head[max(one, other)] = min(one, other)
+                    out.append((min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
 
+def _verified(links):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, task = None, []
+        one = np.ones((1, 1), bool)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("node", "i", "j", "member", "component", "block", "sketch")]
-            for node, i, j, *row in zip(*columns, strict=True):
-                if key != (node, i, j):
-                    if len(task) > 1:
-                        yield from pairs(task)
-                    key, task = (node, i, j), []
-                task.append(row)
-        if len(task) > 1:
-            yield from pairs(task)
+            ok = pa.array([links([x.as_py()], [y.as_py()], one)(0, 0) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return run
 
@@ -121,30 +257,37 @@ def _block_pairs(compare: Callable[[np.ndarray, np.ndarray], np.ndarray]):
 def connected(
     nodes: DataFrame,
     sketches: DataFrame,
-    plausible: Callable[[DataFrame], DataFrame],
-    verify: Callable[[DataFrame], DataFrame],
-    compare: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    payloads: Callable[[DataFrame], DataFrame],
+    near: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    links: Callable[[list, list, np.ndarray], Callable[[int, int], bool]],
 ) -> DataFrame | None:
-    """(member, component) of members with a verified link, or None where there is no link.
+    """(member, component) of members with a link, or None where there is no link.
 
-    nodes: (node, member).  sketches: (member, sketch binary), one row a member.  plausible: keeps
-    the first pairs (a, b, votes) worth verifying.  verify: keeps the linked pairs (a, b).  compare:
-    two arrays of sketches to a matrix, true where a pair may be linked.
+    nodes: (node, member).  sketches: (member, sketch), one row a member, equally many bytes each.
+    payloads: from a table of members to (member, payload), one row each.  near: two matrices of
+    sketches to a matrix, true where a pair may be a link (no link may be missed).  links: two lists
+    of payloads, and which pairs will be asked for, to a function that tells whether pair (i, j) is
+    a link, exactly.
     """
-    shared = written(shared_nodes(nodes), "shared-nodes")
-    first_pairs = shared.where("member <> first").groupBy(F.col("first").alias("a"), F.col("member").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    links = written(verify(written(plausible(first_pairs).select("a", "b"), "first-pairs")), "links")
-    has_links = bool(links.head(1))
-    grouped = shared.select("node", "member").withColumn("component", F.col("member"))
-    if has_links:
-        labels = components(links)
-        grouped = shared.select("node", "member").join(labels, "member", "left").withColumn("component", F.coalesce("component", "member"))
-    open_nodes = grouped.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    rows = grouped.join(open_nodes.select("node", F.ceil(F.col("n") / BLOCK).alias("blocks")), "node").join(sketches, "member")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("member"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = rows.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "member", "component", "block", "sketch")
-    more = tasks.repartition(partitions(nodes.sparkSession), "node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_block_pairs(compare), _PAIRS).distinct()
-    more = written(verify(written(more, "more-pairs")), "links")
-    if more.head(1):
-        return components(links.unionByName(more))
-    return labels if has_links else None
+    shared = written(shared_nodes(nodes).select("node", "member"), "shared-nodes")
+    sketched = written(shared.join(sketches, "member"), "sketched-nodes")
+    pairs = written(first_pairs(shared, sketched, near), "first-pairs")
+    texts = payloads(pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct())
+    both = pairs.join(texts.select(F.col("member").alias("a"), F.col("payload").alias("x")), "a").join(texts.select(F.col("member").alias("b"), F.col("payload").alias("y")), "b")
+    found = written(both.select("a", "b", "x", "y").mapInArrow(_verified(links), _PAIRS), "links")
+    labels = components(found) if found.head(1) else None
+    grouped = sketched.withColumn("component", F.col("member"))
+    if labels is not None:
+        grouped = sketched.join(labels, "member", "left").withColumn("component", F.coalesce("component", "member"))
+    grouped = written(grouped, "grouped-nodes")
+    open_nodes = written(grouped.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node"), "open-nodes")
+    tasks = _block_tasks(grouped.join(open_nodes, "node"), ("member", "component", "sketch"))
+    asked = written(tasks.mapInArrow(_partnered(near), "node long, member long").distinct(), "partnered")
+    more = None
+    if asked.head(1):
+        texts = payloads(asked.select("member").distinct())
+        tasks = _block_tasks(grouped.join(asked, ["node", "member"]).join(texts, "member"), ("member", "component", "sketch", "payload"))
+        more = written(tasks.mapInArrow(_joining(near, links), _PAIRS).distinct(), "links")
+    if more is not None and more.head(1):
+        return components(found.unionByName(more))
+    return labels

@@ -147,31 +147,60 @@ def _may_link(least: int):
     return compare
 
 
-def _confirm(size: int, percent: int):
-    """Pairs whose full sets reach the similarity, exactly in integers."""
+def _set_links(size: int, percent: int):
+    """Exact links of packed texts: 100 * intersection >= percent * union of their full sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(left: list[bytes], right: list[bytes], asked: np.ndarray):
         unpack = zstandard.ZstdDecompressor()
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, K.U))
-
-        def distinct(packed: bytes) -> np.ndarray:
-            return np.unique(shingle_sets(pa.array([unpack.decompress(packed)], pa.binary()), size)[0])
-
-        for batch in batches:
-            a_out, b_out = [], []
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "sw_x", "sw_y")), strict=True):
-                x, y = x.as_py(), y.as_py()
-                if last[0] != x:
-                    last = (x, distinct(x))
-                other = distinct(y)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                if 100 * both >= percent * (len(last[1]) + len(other) - both):
-                    a_out.append(a.as_py())
-                    b_out.append(b.as_py())
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return run
+        def sets(packed: list[bytes]) -> list[np.ndarray]:
+            hashes, at = shingle_sets(pa.array([unpack.decompress(x) for x in packed], pa.binary()), size)
+            return [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+        x, y = sets(left), sets(right)
+        if asked.size < 64:
+            def both(i: int, j: int) -> int:
+                return len(np.intersect1d(x[i], y[j], assume_unique=True))
+        else:
+            counts = _intersections(x, y)
+
+            def both(i: int, j: int) -> int:
+                return int(counts[i, j])
+
+        def linked(i: int, j: int) -> bool:
+            n = both(i, j)
+            return 100 * n >= percent * (len(x[i]) + len(y[j]) - n)
+
+        return linked
+
+    return links
+
+
+def _intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of 0/1 matrices (exact in floats)."""
+    values, number = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    del values
+    cut = sum(map(len, x))
+    rows = [np.repeat(np.arange(len(z)), list(map(len, z))) for z in (x, y)]
+    ids = [number[:cut], number[cut:]]
+    shared = np.intersect1d(ids[0], ids[1])
+    out = np.zeros((len(x), len(y)), np.float32)
+    sides = []
+    for r, i in zip(rows, ids, strict=True):
+        at = np.searchsorted(shared, i)
+        ok = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == i) if len(shared) else np.zeros(len(i), bool)
+        order = np.argsort(at[ok], kind="stable")
+        sides.append((r[ok][order], at[ok][order]))
+    for lo in range(0, len(shared), columns):
+        hi = min(lo + columns, len(shared))
+        parts = []
+        for (r, i), z in zip(sides, (x, y), strict=True):
+            a, b = np.searchsorted(i, [lo, hi])
+            m = np.zeros((len(z), hi - lo), np.float32)
+            m[r[a:b], i[a:b] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +246,14 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int, percent: int, tre
     packed = keyed.mapInArrow(_pack, "sw_k long, sw_t long, sw_z binary")
     places = members.select("member", F.col("where.sw_k").alias("sw_k"), F.col("where.sw_t").alias("sw_t"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct().join(places, "member")
-        asked = written(asked, "asked")  # its size is known from here on, so a small one is broadcast
-        texts = written(packed.join(asked, ["sw_k", "sw_t"]).dropDuplicates(["member"]).select("member", "sw_z"), "asked-texts")
-        both = pairs.join(texts.select(F.col("member").alias("b"), F.col("sw_z").alias("sw_y")), "b").join(texts.select(F.col("member").alias("a"), F.col("sw_z").alias("sw_x")), "a")
-        return both.select("a", "b", "sw_x", "sw_y").mapInArrow(_confirm(shingle_words, percent), "a long, b long")
+    def payloads(asked: DataFrame) -> DataFrame:
+        wanted = written(asked.join(places, "member"), "asked")  # its size is known from here on, so a small one is broadcast
+        return written(packed.join(wanted, ["sw_k", "sw_t"]).dropDuplicates(["member"]).select("member", F.col("sw_z").alias("payload")), "asked-texts")
 
     # equal minwise values of a linked pair: at least this many, but for a chance of some 1e-6
     share = percent / 100
     least = math.floor(VALUES * share - 4.7 * math.sqrt(VALUES * share * (1 - share)))
-    found = connected(leaves, sketches, lambda pairs: pairs.where("votes >= 3"), verify, _may_link(least))
+    found = connected(leaves, sketches, payloads, _may_link(least), _set_links(shingle_words, percent))
     if found is None:
         groups = members.select("member", F.col("least").alias("sw_c"))
     else:
