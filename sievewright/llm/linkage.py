@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.durable import partitions, written
 
-BLOCK = 256
+#: Bounds of a block: members, and bytes of payload.
+BLOCK, BLOCK_BYTES = 1024, 1 << 20
 _PAIRS = "a long, b long"
 
 
@@ -173,7 +174,8 @@ def first_pairs(shared: DataFrame, sketched: DataFrame, near: Callable[[np.ndarr
 
 def _block_tasks(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``rows`` (node, member, component, ...) dealt to tasks (node, i, j), one for each pair of blocks."""
-    size = written(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "block-counts")
+    held = F.sum(F.octet_length("payload")) / BLOCK_BYTES if "payload" in columns else F.lit(0.0)
+    size = written(rows.groupBy("node").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, held)).alias("blocks")), "block-counts")
     rows = rows.join(size, "node").withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)

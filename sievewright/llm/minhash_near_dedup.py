@@ -247,7 +247,7 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int, percent: int, tre
     places = members.select("member", F.col("where.sw_k").alias("sw_k"), F.col("where.sw_t").alias("sw_t"))
 
     def payloads(asked: DataFrame) -> DataFrame:
-        wanted = written(asked.join(places, "member"), "asked")  # its size is known from here on, so a small one is broadcast
+        wanted = asked.join(places, "member").hint("merge")  # alike at every size, so that growth can be told
         return written(packed.join(wanted, ["sw_k", "sw_t"]).dropDuplicates(["member"]).select("member", F.col("sw_z").alias("payload")), "asked-texts")
 
     # equal minwise values of a linked pair: at least this many, but for a chance of some 1e-6
