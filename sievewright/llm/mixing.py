@@ -83,7 +83,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
         x = out[todo]
         left, right = x >> K.U(half), x & mask
         for r in range(4):
-            left, right = right, left ^ (K.mix(right + K.U((key * 4 + r) & ((1 << 63) - 1)) * K.U(0x9E3779B97F4A7C15)) & mask)
+            left, right = right, left ^ (K.mix(right + K.U((key * 4 + r) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))) & mask)
         out[todo] = (left << K.U(half)) | right
         todo = todo[out[todo] >= K.U(n)]
     return out.astype(np.int64)
@@ -133,13 +133,14 @@ def mix(docs: DataFrame, block_words: int = 32, shard_slots: int = 1 << 18, cap:
         first += drawn
     parts = spark.createDataFrame(plan, "shard long, source long, first long, n long, blocks long").repartition(partitions(spark), "shard", "source")
     slots = parts.mapInPandas(_slots(seed), "shard long, sw_s int, block long")
-    uses = slots.groupBy("sw_s", "block").agg(F.count(F.lit(1)).alias("sw_uses"))
+    # slots come from a small plan but are as many as blocks; without the hint their size is misjudged
+    uses = slots.groupBy("sw_s", "block").agg(F.count(F.lit(1)).alias("sw_uses")).hint("merge")
 
     rows = sizes.join(sources.withColumnRenamed("source", "sw_source"), F.col("source").eqNullSafe(F.col("sw_source"))).drop("sw_source")
     rows = rows.withColumn("sw_b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "sw_buckets"))
     order = Window.partitionBy("sw_s", "sw_b").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("sw_s", "sw_b").agg(F.sum("size").alias("sw_n"))
-    starts = buckets.withColumn("sw_start", F.coalesce(F.sum("sw_n").over(Window.partitionBy("sw_s").orderBy("sw_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("sw_s", "sw_b", "sw_start")
+    starts = buckets.withColumn("sw_start", F.coalesce(F.sum("sw_n").over(Window.partitionBy("sw_s").orderBy("sw_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("sw_s", "sw_b", "sw_start").hint("merge")
     placed = rows.withColumn("sw_in", F.coalesce(F.sum("size").over(order), F.lit(0))).join(starts, ["sw_s", "sw_b"]).withColumn("sw_o", F.col("sw_start") + F.col("sw_in"))
     result = ["doc_id", "source", "size", "source_size", "target"]
     full = placed.where("size > 0")
