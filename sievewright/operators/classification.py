@@ -187,7 +187,7 @@ def build_classifier(provider: str, model: str | None = None, api_key: str | Non
     return Classifier(connector(key, model, api_key, generation), generation=generation, **prompts)
 
 
-def classifier_from_env(prefix: str = "DOC_ANALYSE_LLM", environ: Mapping[str, str] | None = None, **prompts: str) -> Classifier:
+def classifier_from_env(prefix: str = "SCREENING_LLM", environ: Mapping[str, str] | None = None, **prompts: str) -> Classifier:
     """{prefix}_PROVIDER (openai if unset), {prefix}_MODEL, and {prefix}_API_KEY or the provider's own."""
     env = os.environ if environ is None else environ
     key = provider_name(env.get(f"{prefix}_PROVIDER") or "openai")

@@ -125,7 +125,7 @@ def test_factory(monkeypatch):
         monkeypatch.delenv(name, raising=False)
     with pytest.raises(K.DependencyError):
         K.classifier_from_env(environ={})
-    assert isinstance(K.classifier_from_env(environ={"DOC_ANALYSE_LLM_API_KEY": "k"}), K.Classifier)
+    assert isinstance(K.classifier_from_env(environ={"SCREENING_LLM_API_KEY": "k"}), K.Classifier)
     for bad in ({"temperature": True}, {"max_tokens": 0}, {"max_tokens": -3}, {"temperature": "x"}):
         with pytest.raises(ValueError):
             K.GenerationConfig(**bad)
