@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at once; bounds a worker's memory whatever the batch size is.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
