@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; those that have no text left go."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, by_edits=True)
     out = out.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]") | (F.col("n_removed") == 0))
     size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(size).select(*docs.columns) if size else out.select(*docs.columns)

@@ -91,6 +91,42 @@ def test_lines_against_brute_force(spark):
     assert N.dedup_lines(documents(spark, [])).collect() == []
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    rng = random.Random(12)
+    rows, lines = [], []
+    for i in range(60):
+        words = prose(2000 + i, rng.choice([5, 7, 10, 15, 20, 30, 60, 120]), 90).split()
+        lines.append(" ".join(words))
+        for _ in range(3 if i else 40):  # one group is larger than a small node
+            edited = list(words)
+            for _ in range(rng.randint(0, int(0.25 * len(words)))):
+                at = rng.randrange(len(edited))
+                edited[at : at + 1] = rng.choice([[], ["other"], [edited[at], "more"]])
+            lines.append(" ".join(edited))
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i::30])) for i in range(30)]
+    order = [(i, j, x) for i, text in rows for j, x in enumerate(text.split("\n"))]
+    words = [x.split() for _, _, x in order]
+    head = list(range(len(order)))
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i in range(len(order)):
+        for j in range(i):
+            longest = max(len(words[i]), len(words[j]))
+            if min(len(words[i]), len(words[j])) >= 5 and 5 * abs(len(words[i]) - len(words[j])) <= longest and 5 * N.edit_distance(words[i], words[j]) <= longest:
+                a, b = sorted((find(i), find(j)))
+                head[b] = a
+    stay = {(i, j) for at, (i, j, _) in enumerate(order) if find(at) == at}
+    got = {r.doc_id: r.text for r in N.dedup_lines(documents(spark, rows), by_edits=True).collect()}
+    assert len(stay) < len(order) - 60
+    assert got == {i: "\n".join(x for j, x in enumerate(text.split("\n")) if (i, j) in stay) for i, text in rows}
+    assert N.dedup_lines(documents(spark, []), by_edits=True).collect() == []
+
+
 def test_edit_distance():
     def slow(x, y):
         row = list(range(len(y) + 1))
