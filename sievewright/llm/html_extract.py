@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>", re.S)
-_CLASSES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_NAMED = {"class", "id", "role", "aria-label", "itemprop"}
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 #: Fixed sets of HTML's elements.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "select", "option", "noframes", "xmp"}
@@ -35,13 +36,41 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|side-?bar|aside|rail|widgets?|menu|nav|navbar|navigation|breadcrumbs?|toolbar|footer|foot|header|masthead|"
     r"comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|shar(?:e|ing)|social|follow|related|recommend\w*|more-?stories|trending|popular|newsletter|subscri\w*|signup|sign-?up|login|pop-?up|modal|overlay|"
-    r"paywall|search|forms?|pagination|pager|tags?|copyright|legal|complementary|contentinfo|dialog|skip\w*|hidden|sr-only|print-?only|outbrain|taboola|dropdown|languages?)(?=$|[\s_-])",
+    r"paywall|search|forms?|pagination|pager|tags?|copyright|legal|complementary|contentinfo|dialog|skip\w*|(?<![_-])hidden(?![_-])|sr-only|print-?only|outbrain|taboola|dropdown|languages?)(?=$|[\s_-])",
     re.I,
 )
+#: Parts that turn the word after them (a layout has or lacks a sidebar), and names of code listings.
+_NEGATED = re.compile(r"(?:^|[_-])(?:no|not|non|has|is|with|without|hide|show)[_-]", re.I)
+_LISTING = re.compile(r"languages?[_-](?!(?:switch\w*|select\w*|pick\w*|choos\w*|list|links?)$)[^_-]+$", re.I)
+#: Costs of a class word that is all of a name or its last part, the first part of a class, or any other part.
+_WHOLE, _FIRST, _PART = -8.0, -5.5, -2.5
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|entry\w*|post-?(?:body|content|text)|story\w*|body-?(?:text|copy)|prose|text|post)(?=$|[\s_-])", re.I)
 _PLACE = {"nav": -9.0, "aside": -9.0, "footer": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "header": -9.0, "fieldset": -9.0}
 
 
+def _attributes(text: str) -> list[tuple[str, str]]:
+    return [(m[1].lower(), (m[2] or m[3] or m[4] or "").strip()) for m in _ATTRIBUTE.finditer(text)]
+
+
+def name_cost(kind: str, name: str) -> float:
+    """Soft cost of one class word, id or label: the article ancestor and the edges may outweigh it."""
+    found = list(_BAD.finditer(name))
+    if not found or _LISTING.match(name) or _NEGATED.search(name[: found[-1].start() + 1]):
+        return 0.0
+    if sum(m.end() - m.start() for m in found) == len(name) or (kind == "class" and found[-1].end() == len(name)):
+        return _WHOLE
+    return _FIRST if kind == "class" and found[0].start() == 0 else _PART
+
+
+def _hidden(attributes: list[tuple[str, str]]) -> bool:
+    """Whether a tag's own attributes hide it: ``hidden``, ``aria-hidden=true`` or ``display: none`` in its style."""
+    for name, value in attributes:
+        value = value.lower()
+        if (name == "hidden" and value != "false") or (name == "aria-hidden" and value == "true") or (name == "style" and _NOT_SHOWN.search(htmllib.unescape(value))):
+            return True
+    return False
+
+
 @dataclass
 class Block:
     """One text block: its text, share of link text, container and the classifier's log-odds."""
@@ -53,16 +82,16 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("bad", "good", "number", "tag")
+    __slots__ = ("bad", "good", "number", "soft", "tag")
 
-    def __init__(self, tag: str, number: int, bad: float, good: bool):
-        self.tag, self.number, self.bad, self.good = tag, number, bad, good
+    def __init__(self, tag: str, number: int, bad: float, good: bool, soft: float):
+        self.tag, self.number, self.bad, self.good, self.soft = tag, number, bad, good, soft
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; scripts, styles, comments and hidden parts have none."""
-    found: list[tuple[str, float, int, str, float, bool]] = []
-    root = _Element("", 0, 0.0, False)
+    found: list[tuple[str, float, int, str, float, bool, float]] = []
+    root = _Element("", 0, 0.0, False, 0.0)
     stack, count = [root], 0
     parts: list[str] = []
     linked = total = 0
@@ -76,15 +105,15 @@ def blocks(page: str) -> list[Block]:
         if text:
             holder = next(e for e in reversed(stack) if e.tag not in INLINE)
             outer = next((e for e in reversed(stack) if e.tag not in INLINE and e.tag not in ("p", "li") and e.tag not in HEADINGS), root)
-            bad = 0.0
+            bad = soft = 0.0
             good = False
             heading = holder.tag in HEADINGS
             for e in stack:
                 if e.tag == "header" and heading and good:
                     continue  # an article's own title stays with it
-                bad = min(bad, e.bad)
+                bad, soft = min(bad, e.bad), min(soft, e.soft)
                 good |= e.good
-            found.append((text, linked / total, outer.number, holder.tag, bad, good))
+            found.append((text, linked / total, outer.number, holder.tag, bad, good, soft))
         parts, linked, total = [], 0, 0
 
     while at < end:
@@ -137,27 +166,29 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         bad, good = _PLACE.get(tag, 0.0), tag in ("article", "main")
+        soft = 0.0
         if m[3]:
-            named = " ".join(x for g in _CLASSES.findall(m[3]) for x in g if x)
-            if named:
-                if _BAD.search(named) and tag not in ("body", "html", "article", "main"):
-                    bad = min(bad, -9.0)
-                elif _GOOD.search(named):
-                    good = True
-            if _HIDDEN.search(m[3]):
+            attributes = _attributes(m[3])
+            for kind, value in attributes:
+                if kind in _NAMED:
+                    for name in value.split() if kind == "class" else ["-".join(value.split())]:
+                        cost = name_cost(kind, name) if tag not in ("body", "html", "article", "main") else 0.0
+                        soft = min(soft, cost)
+                        good |= not cost and bool(_GOOD.search(name))
+            if _hidden(attributes):
                 bad = -20.0
         count += 1
-        stack.append(_Element(tag, count, bad, good))
+        stack.append(_Element(tag, count, bad, good, soft))
     close()
     in_article = any(f[5] for f in found)
-    return [Block(text, links, container, _odds(text, links, tag, bad, good, in_article)) for text, links, container, tag, bad, good in found]
+    return [Block(text, links, container, _odds(text, links, tag, bad, good, in_article, soft)) for text, links, container, tag, bad, good, soft in found]
 
 
-def _odds(text: str, links: float, tag: str, bad: float, good: bool, in_article: bool) -> float:
+def _odds(text: str, links: float, tag: str, bad: float, good: bool, in_article: bool, soft: float) -> float:
     """Log-odds that a block is content."""
     if bad:
         return bad
-    odds = 0.5 - 3.0 * links
+    odds = 0.5 - 3.0 * links + soft
     if good:
         odds += 3.0
     elif in_article:

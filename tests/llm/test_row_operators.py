@@ -105,6 +105,31 @@ def test_extract_page():
     assert H.extract(plain) == "This is a plain page without an article element but with sentences. Short one."
 
 
+KEPT = "The city lies in a wide valley and has many old houses made of grey stone."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article style="overflow:hidden"><p>{}</p></article>',
+        '<article><p title="what is hidden here">{}</p></article>',
+        '<main id="the-hidden-city"><p>{}</p></main>',
+        '<article><div class="overflow-hidden"><p>{}</p></div></article>',
+        '<article><section id="search-algorithms"><p>{}</p></section></article>',
+        '<article><pre class="language-python">{}</pre></article>',
+        '<div class="post-content no-sidebar"><p>{}</p></div>',
+        '<div class="has-sidebar"><article><p>{}</p></article></div>',
+    ],
+)
+def test_attributes_that_hide_nothing(page):
+    assert H.extract("<body><nav>Menu</nav>" + page.format(KEPT) + "</body>") == KEPT
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display: none"', 'class="hidden"', 'class="ad"', 'class="article-comments"', 'class="cookie-banner wide"', 'id="sidebar"'])
+def test_attributes_that_hide(attribute):
+    assert H.extract(f"<article><p>{KEPT}</p><div {attribute}><p>Buy this long advertisement text with many many words in it today please.</p></div></article>") == KEPT
+
+
 @pytest.mark.parametrize("bad", [None, "", "<", "<div", "<!--", "<script>x", "</p></p>", "<p>" * 3000, "&#x110000; &bogus; &", '<a href="x>y'])
 def test_broken_pages(bad):
     assert isinstance(H.extract(bad), str)
