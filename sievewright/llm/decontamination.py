@@ -6,10 +6,15 @@ of template tokens are hashed; the windows of all documents are matched against
 of the benchmark (a hash join whose build side is one bounded block of the benchmark at a time, so
 nothing grows with the benchmark, and documents aren't shuffled).
 
+A capitalised word that opens a sentence is a word in one reading and a name in another, and both are
+matched, as a copy may stand behind a comma or a line break.  Windows of mostly placeholders say too
+little as templates and are matched by their literal words.
+
 Matches of one document and item that lie on one diagonal form a passage.  Its slots must be
 consistent: the same number, name or unit of the item must stand for the same one of the document
-throughout, and the other way round.  An item leaks if passages cover ``min_share`` of its tokens, or one
-of them has ``min_run`` tokens.
+throughout.  An item leaks if passages cover ``min_share`` of its tokens, or one of them has ``min_run``
+tokens.  An inconsistent passage is cut before each slot that contradicts an earlier one, and counts
+only if a part has ``min_run`` tokens.
 """
 
 from __future__ import annotations
@@ -54,6 +59,10 @@ class Templates:
     first: np.ndarray
     slot: np.ndarray
     data: np.ndarray
+    #: Codes and flags with all capitalised words as names, and codes of the literal words.
+    named: np.ndarray
+    any_slot: np.ndarray
+    literal: np.ndarray
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -92,7 +101,7 @@ def templates(text: pa.Array) -> Templates:
     digits = np.r_[0, np.cumsum(_DIGIT[data])]
     number = digits[end] > digits[start]
     if not len(start):
-        return Templates(code, start, end, first, number, data)
+        return Templates(code, start, end, first, number, data, code, number, code)
     head, after = data[start], data[np.minimum(start + 1, len(data) - 1)]
     upper = (head >= 65) & (head <= 90) | (head == 0xC3) & (after >= 0x80) & (after <= 0x9E)
     follows = np.where(head == 0xC3, data[np.minimum(start + 2, len(data) - 1)], after)
@@ -103,25 +112,37 @@ def templates(text: pa.Array) -> Templates:
         _units.append(np.sort(K.word_hashes(b, s, e)))
     at = np.searchsorted(_units[0], code)
     unit = (at < len(_units[0])) & (_units[0][np.minimum(at, len(_units[0]) - 1)] == code)
-    name = upper & ~shout & ~opens & (end - start > 1)
-    code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, code)))
-    return Templates(code, start, end, first, number | unit | name, data)
-
+    capital = upper & ~shout & (end - start > 1)
+    name = capital & ~opens
+    literal = code
+    code, named = (np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(x, _NAME, literal))) for x in (name, capital))
+    return Templates(code, start, end, first, number | unit | name, data, named, number | unit | capital, literal)
 
-def windows(t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first token and size of every window; windows of mostly placeholders are left out.
 
-    Texts of fewer than WINDOW tokens, but LEAST at least, are one window.
-    """
+def _spans(t: Templates, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token and size of every window of ``most`` tokens; shorter texts of LEAST at least are one."""
     counts = np.diff(t.first)
-    size = np.minimum(counts, WINDOW)
-    n = np.where(counts >= LEAST, counts - size + 1, 0)
+    size = np.minimum(counts, most)
+    n = np.where(counts >= min(LEAST, most), counts - size + 1, 0)
     begin = np.repeat(t.first[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    size = np.repeat(size, n)
-    slots = np.r_[0, np.cumsum(t.slot)]
-    ok = 2 * (slots[begin + size] - slots[begin]) <= size
-    begin, size = begin[ok], size[ok]
-    return K.Prefix(t.code, 2).spans(begin, begin + size), begin, size
+    return begin, np.repeat(size, n)
+
+
+def windows(t: Templates, most: int = WINDOW, indexed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first token and size of every window, and whether it rests on a capital read as a name.
+
+    Templates of mostly placeholders are left out; for these, an index has the literal words, which are
+    looked for at every window of a document.
+    """
+    begin, size = _spans(t, most)
+    slots, any_slots = (np.r_[0, np.cumsum(x)] for x in (t.slot, t.any_slot))
+    own, full = slots[begin + size] - slots[begin], any_slots[begin + size] - any_slots[begin]
+    literal = 2 * full > size if indexed else np.ones(len(begin), bool)
+    parts = []
+    for codes, ok, tag, read in ((t.code, 2 * own <= size, 0, False), (t.named, (2 * full <= size) & (full > own), 0, True), (t.literal, literal, 0x9E3779B97F4A7C15, False)):
+        x, n = begin[ok], size[ok]
+        parts.append((K.Prefix(codes, 2).spans(x, x + n) ^ K.U(tag), x, n, np.full(len(x), read)))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 @dataclass(frozen=True)
@@ -132,6 +153,7 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     size: np.ndarray
+    read: np.ndarray
     item_ids: list
     tokens: list[list[str]]
     slots: list[list[bool]]
@@ -144,58 +166,75 @@ def _words_of(t: Templates, lo: int, hi: int) -> list[str]:
 
 def build_index(item_ids: list, texts: list[str]) -> Index:
     t = templates(pa.array(texts, pa.string()))
-    h, begin, size = windows(t)
+    h, begin, size, read = windows(t, indexed=True)
     order = np.argsort(h, kind="stable")
     item = K.row_of(t.first, begin)
     place = begin - t.first[item]
     bounds = list(zip(t.first[:-1], t.first[1:], strict=True))
     short = sorted({int(s) for s in size if s < WINDOW})
-    return Index(h[order], item[order], place[order], size[order], item_ids, [_words_of(t, a, b) for a, b in bounds], [t.slot[a:b].tolist() for a, b in bounds], short)
+    return Index(h[order], item[order], place[order], size[order], read[order], item_ids, [_words_of(t, a, b) for a, b in bounds], [t.any_slot[a:b].tolist() for a, b in bounds], short)
 
 
-def _consistent(pairs: list[tuple[str, str]]) -> bool:
+def _parts(places: list[int], pairs: dict[int, tuple[str, str]]) -> list[list[int]]:
+    """``places`` cut before each one whose slot contradicts an earlier slot of its part."""
+    out: list[list[int]] = [[]]
     one: dict[str, str] = {}
-    other: dict[str, str] = {}
-    return all(one.setdefault(a, b) == b and other.setdefault(b, a) == a for a, b in pairs)
+    for p in places:
+        if p in pairs:
+            a, b = pairs[p]
+            if one.setdefault(a, b) != b:
+                out.append([])
+                one = {a: b}
+        out[-1].append(p)
+    return out
+
+
+def _longest_run(places: list[int]) -> int:
+    run = best = 1
+    for a, b in zip(places, places[1:], strict=False):
+        run = run + 1 if b == a + 1 else 1
+        best = max(best, run)
+    return best
 
 
 def leaks(index: Index, text: pa.Array, min_share: float, min_run: int) -> list[list[tuple[int, int, int, float]]]:
     """For each text: (item number, first and last byte of the passage, share of the item)."""
     t = templates(text)
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in range(len(text))]
-    h, begin, size = windows(t)
-    if index.short:  # windows as short as the block's shortest items
-        prefix = K.Prefix(t.code, 2)
-        counts = np.diff(t.first)
-        for n in index.short:
-            k = np.maximum(counts - n + 1, 0)
-            b = np.repeat(t.first[:-1], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            h, begin, size = np.r_[h, prefix.spans(b, b + n)], np.r_[begin, b], np.r_[size, np.full(len(b), n)]
+    h, begin, size, read = (np.concatenate(c) for c in zip(*(windows(t, n) for n in (WINDOW, *index.short)), strict=True))  # as short as the block's shortest items, too
     lo, hi = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
         return out
     diagonals: dict[tuple[int, int, int], set[int]] = {}
+    strict: dict[tuple[int, int, int], set[int]] = {}  # without capitals read as names
     for x in hit.tolist():
         row = int(K.row_of(t.first, begin[x : x + 1])[0])
         for y in range(lo[x], hi[x]):
             if index.size[y] == size[x]:
                 place = int(index.place[y])
-                diagonals.setdefault((row, int(index.item[y]), int(begin[x]) - place), set()).update(range(place, place + int(size[x])))
+                key = (row, int(index.item[y]), int(begin[x]) - place)
+                diagonals.setdefault(key, set()).update(range(place, place + int(size[x])))
+                if not read[x] and not index.read[y]:
+                    strict.setdefault(key, set()).update(range(place, place + int(size[x])))
     covered: dict[tuple[int, int], set[int]] = {}
     spans: dict[tuple[int, int], list[int]] = {}
     for (row, item, shift), places in sorted(diagonals.items()):
-        places_in_order = sorted(places)
         slots = index.slots[item]
-        own = [(index.tokens[item][p], t.data[t.start[p + shift] : t.end[p + shift]].tobytes().decode("utf-8", "replace").lower()) for p in places_in_order if slots[p]]
-        if not _consistent(own):
-            continue
-        run = best = 1
-        for a, b in zip(places_in_order, places_in_order[1:], strict=False):
-            run = run + 1 if b == a + 1 else 1
-            best = max(best, run)
+        words = {p: (index.tokens[item][p], t.data[t.start[p + shift] : t.end[p + shift]].tobytes().decode("utf-8", "replace").lower()) for p in places}
+        pairs = {p: w for p, w in words.items() if slots[p] or t.any_slot[p + shift]}
+        parts = _parts(sorted(places), pairs)
+        if len(parts) > 1 and (row, item, shift) in strict:
+            again = _parts(sorted(strict[row, item, shift]), pairs)
+            parts = again if len(again) == 1 else parts
+        if len(parts) > 1:
+            parts = [x for x in parts if _longest_run(x) >= min_run]
+            if not parts:
+                continue
+        best = max(map(_longest_run, parts))
+        places_in_order = [p for x in parts for p in x]
         key = (row, item)
-        covered.setdefault(key, set()).update(places)
+        covered.setdefault(key, set()).update(places_in_order)
         span = spans.setdefault(key, [1 << 60, 0, 0])
         span[0] = min(span[0], int(t.start[places_in_order[0] + shift]))
         span[1] = max(span[1], int(t.end[places_in_order[-1] + shift]))

@@ -181,6 +181,30 @@ def test_leaks_and_clean_documents(spark):
     assert D.with_leaks(documents(spark, []), benchmark).collect() == []
 
 
+NUMBERS = "Sort the numbers 14 3 27 8 91 5 66 12 40 in ascending order."
+
+
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        (NUMBERS, f"so {NUMBERS} and on"),
+        ("14 3 27 8 91 5", "the row 14 3 27 8 91 5 of it"),
+        (ITEM, f"he said, {ITEM}"),
+        ("Name the longest river of Europe", "a line without a stop\nName the longest river of Europe\nand more"),
+        ("name the longest river", None),
+        ("Which river flows past Vienna today?", "so now Which river flows past Paris today?"),
+        ("Anna walks to school each day", "Well. then Maria walks to school each day"),
+        ("How many of the red apples does Bert give to Carl at noon?", "How many of the red apples does Joe give to Joe at noon?"),
+        (" ".join(["Anna", *(f"w{c}" for c in "abcdefghijklmnopqrstuvwx"), "meets", "Anna", "at", "the", "old", "gate"]), "x " + " ".join(["now Maria", *(f"w{c}" for c in "abcdefghijklmnopqrstuvwx"), "meets", "Anna", "at", "the", "old", "gate"])),
+    ],
+)
+def test_literal_and_capital_matches(item, text):
+    text = text or "He was asked to\nName the longest river"
+    index = D.build_index([1], [item])
+    found = D.leaks(index, pa.array([text, "nothing of it stands in this text but 14 3 words"]), 0.5, 20)
+    assert bool(found[0]) == (len(item.split()) >= D.LEAST) and not found[1]
+
+
 def test_benchmark_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 300)
     items = [(i, prose(200 + i, 25)) for i in range(20)]
