@@ -127,6 +127,12 @@ def test_lines_by_edit_similarity_alone(spark):
     assert N.dedup_lines(documents(spark, []), by_edits=True).collect() == []
 
 
+@pytest.mark.parametrize("by_edits", [True, False])
+def test_repeated_lines_without_spaces(spark, by_edits):
+    rows = [(1, "這條河流經過古老的城市\nแม่น้ำไหลผ่านเมือง\n你好"), (2, "這條河流經過古老的城市\nแม่น้ำไหลผ่านเมือง\n你好\n別的")]
+    assert {r.doc_id: r.text for r in N.dedup_lines(documents(spark, rows), by_edits=by_edits).collect()} == {1: rows[0][1], 2: "你好\n別的"}
+
+
 def test_edit_distance():
     def slow(x, y):
         row = list(range(len(y) + 1))
