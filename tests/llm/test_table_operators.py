@@ -91,7 +91,9 @@ def test_lines_against_brute_force(spark):
     assert N.dedup_lines(documents(spark, [])).collect() == []
 
 
-def test_lines_by_edit_similarity_alone(spark):
+@pytest.mark.parametrize("small", [16, 128])
+def test_lines_by_edit_similarity_alone(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
     rng = random.Random(12)
     rows, lines = [], []
     for i in range(60):
