@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import kernels as K
-from sievewright.llm.durable import written
+from sievewright.llm.durable import released, written
 from sievewright.llm.linkage import connected
 
 VALUES = 64
@@ -210,9 +210,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("sw_k"), batch.column("sw_t"), packed], names=["sw_k", "sw_t", "sw_z"])
 
 
-def addressed(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row's address: order key sw_k (a null id after all) and text hash sw_t."""
-    return docs.withColumns({"sw_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "sw_t": F.xxhash64(F.coalesce("text", F.lit("")))})
+def address() -> list:
+    """A row's address: order key sw_k (a null id after all) and text hash sw_t."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("sw_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sw_t")]
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = 20) -> DataFrame:
@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def near_duplicate_groups(docs: DataFrame, shingle_words: int, percent: int, trees: int) -> DataFrame:
-    """sw_k, sw_t (the row's address), n_shingles and sw_c, the order key that names its group."""
-    keyed = addressed(docs.select("doc_id", "text")).select("sw_k", "sw_t", F.coalesce("text", F.lit("")).alias("text"))
+    """sw_k, sw_t (the row's address), n_shingles, sw_c (least order key of its group) and sw_g (the group; null without shingles)."""
+    spark = docs.sparkSession
+    keyed = docs.select(*address(), F.coalesce("text", F.lit("")).alias("text"))
     sets = written(keyed.mapInArrow(_sets(shingle_words), _SETS), "sets")
     some = sets.where("n_shingles > 0")
     members = written(
@@ -255,19 +256,26 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int, percent: int, tre
     least = math.floor(VALUES * share - 4.7 * math.sqrt(VALUES * share * (1 - share)))
     found = connected(leaves, sketches, payloads, _may_link(least), _set_links(shingle_words, percent))
     if found is None:
-        groups = members.select("member", F.col("least").alias("sw_c"))
+        groups = members.select("member", F.col("least").alias("sw_c"), F.col("member").alias("sw_g"))
     else:
-        labelled = members.select("member", "least").join(found, "member", "left").withColumn("component", F.coalesce("component", "member"))
-        least_of = labelled.groupBy("component").agg(F.min("least").alias("sw_c"))
-        groups = labelled.join(least_of, "component").select("member", "sw_c")
+        labelled = members.select("member", "least").join(found, "member", "left").select("member", "least", F.coalesce("component", "member").alias("sw_g"))
+        least_of = labelled.groupBy("sw_g").agg(F.min("least").alias("sw_c"))
+        groups = labelled.join(least_of, "sw_g").select("member", "sw_c", "sw_g")
+    groups = written(groups, "groups")  # a side that was written lets the join split a set that a third of the rows have
+    released(spark)
     joined = sets.select("sw_k", "sw_t", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("member")).alias("member")).join(groups, "member", "left")
-    return joined.select("sw_k", "sw_t", "n_shingles", F.coalesce("sw_c", "sw_k").alias("sw_c"))
+    return joined.select("sw_k", "sw_t", "n_shingles", F.coalesce("sw_c", "sw_k").alias("sw_c"), "sw_g")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = 20) -> DataFrame:
-    """All columns of the documents that stay: of each group the one with the smallest doc_id.
+    """All columns of the documents that stay: of each group the one with the smallest doc_id (null last).
 
-    Rows that repeat the doc_id and text of one that stays are the same document and stay with it.
+    Of several texts with that id the one with the least hash stays.  Rows that repeat the doc_id and
+    text of one that stays are the same document and stay with it.  Null, empty and white-space texts
+    stay.  Columns pass through whatever their names are.
     """
-    lost = near_duplicate_groups(docs, shingle_words, percent, trees).where("sw_k <> sw_c").select("sw_k", "sw_t").distinct()
-    return addressed(docs).join(written(lost, "lost"), ["sw_k", "sw_t"], "left_anti").select(*docs.columns)
+    groups = written(near_duplicate_groups(docs, shingle_words, percent, trees), "groups")
+    kept = written(groups.groupBy("sw_g").agg(F.min(F.struct("sw_k", "sw_t")).alias("sw_kept")), "kept")
+    lost = groups.join(kept, "sw_g").where(F.struct("sw_k", "sw_t") != F.col("sw_kept")).select("sw_k", "sw_t").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("sw_row"), *address())
+    return rows.join(written(lost, "lost"), ["sw_k", "sw_t"], "left_anti").select(*[F.col("sw_row")[c].alias(c) for c in docs.columns])

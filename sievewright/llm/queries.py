@@ -54,7 +54,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), by_edits=True)
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), by_edits=True, exact_from=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
