@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import kernels as K
+from sievewright.llm.durable import bounded_batches
 
 WINDOW, LEAST = 8, 5
 #: Characters of benchmark text that are matched in one pass over the documents.
@@ -274,6 +275,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "sw_leaks",
     BLOCK_CHARS characters; each block is one more pass of the Arrow function over a row.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     blocks = max(1, math.ceil(total / BLOCK_CHARS))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import kernels as K
-from sievewright.llm.durable import partitions
+from sievewright.llm.durable import bounded_batches, partitions
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525893)
@@ -148,6 +148,7 @@ def in_descending_order(rows: DataFrame) -> DataFrame:
     holds one key for each range, never a text.
     """
     n = partitions(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
     cuts = _boundaries(rows.select("sw_k"), n)
     bucket = F.lit(0)
     if cuts:

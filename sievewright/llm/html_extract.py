@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.llm.durable import bounded_batches
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>", re.S)
 _NAMED = {"class", "id", "role", "aria-label", "itemprop"}
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -292,4 +294,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     each.  White space inside a block, no-break spaces included, becomes one space.  Row-wise, whole
     pages, no shuffle.
     """
+    bounded_batches(pages.sparkSession)
     return pages.select("page_id", "url", main_text(F.col("html")).alias("text"))

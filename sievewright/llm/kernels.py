@@ -7,6 +7,7 @@ what lets the Python stages keep up with the scan.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BASES = {0: 0x9E3779B97F4A7C15 | 1, 1: 0xD1B54A32D192ED03 | 1, 2: 0xABC98388FB8FAC03 | 1, 3: 0x8CB92BA72F3D8DD7 | 1}
 _powers: dict[tuple[int, int], np.ndarray] = {}
 _codes: dict[int, np.ndarray] = {}
+_trim: list = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,8 +69,19 @@ class Prefix:
         return mix((self.sums[end] - self.sums[start]) * shift[start])
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker stays for later stages and would keep its largest."""
+    pa.default_memory_pool().release_unused()
+    if not _trim:
+        try:
+            _trim.append(ctypes.CDLL(None).malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _trim.append(lambda pad: 0)
+    _trim[0](0)
+
+
 def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes of text, or of one row that is longer."""
+    """Row ranges of at most ``limit`` bytes of text, or of one row that is longer; trims memory at the end."""
     offsets = np.frombuffer(text.buffers()[1], np.int32 if pa.types.is_string(text.type) or pa.types.is_binary(text.type) else np.int64)
     offsets = offsets[text.offset : text.offset + len(text) + 1].astype(np.int64)
     at = 0
@@ -76,6 +89,7 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, min(to, len(text))
         at = to
+    trim()
 
 
 def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

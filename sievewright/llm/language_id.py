@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import kernels as K
+from sievewright.llm.durable import bounded_batches
 
 UNDETERMINED = "und"
 PROBES = 3
@@ -144,6 +145,7 @@ def predict(model: LanguageFilter, text: Column, spark) -> Column:
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned.  Ties go
     to the language that sorts first.  Whole texts are read.
     """
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang string, score double>")

@@ -173,7 +173,8 @@ def repeated_occurrences(docs: DataFrame, min_words: int = 50) -> DataFrame:
     repeated = (
         occurrences.groupBy("sw_a").agg(F.min("sw_k").alias("sw_least"), F.max("sw_k").alias("sw_most")).where("sw_least < sw_most").select("sw_a")
     )
-    return written(occurrences.join(repeated, "sw_a"), "repeated-halves")
+    # written, so that the join's both sides are plain shuffles and a half that stands everywhere is split
+    return written(occurrences.join(written(repeated, "repeated"), "sw_a"), "repeated-halves")
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:

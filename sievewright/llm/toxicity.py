@@ -28,15 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import kernels as K
-from sievewright.llm.durable import written
+from sievewright.llm.durable import bounded_batches, written
 
 #: Fixed cues of reported speech, in the languages at hand.
 CUES = {"said", "says", "called", "quote", "quoted", "quoting", "wrote", "term", "word", "sagte", "nannte", "zitat", "wort", "dit", "mot", "dijo", "palabra"}
 #: Letters of the stems that are counted beside whole words.
 STEM_LETTERS = (4, 5, 6, 7, 8)
 KINDS = ("exact", "misspelled", "exact quoted", "misspelled quoted")
-#: What quotation takes out of a text while terms are chosen: marked passages, and words after a cue.
-_QUOTATION = re.compile(r'"[^"\n]{0,400}"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|„[^“”\n]{0,400}[“”]|\b(?:' + "|".join(sorted(CUES)) + r")\b(?:\W+\w+){0,5}")
+#: Words before a hit in which a reporting cue counts.
+CUE_WORDS = 5
+#: What quotation takes out of a text while terms are chosen: marked passages (to the line's end where they aren't closed), and words after a cue.
+_QUOTATION = re.compile(r'"[^"\n]*"?|“[^”\n]*”?|«[^»\n]*»?|„[^“”\n]*[“”]?|\b(?:' + "|".join(sorted(CUES)) + rf")\b(?:\W+\w+){{0,{CUE_WORDS}}}")
 _alnum: list[np.ndarray] = []
 
 
@@ -156,14 +158,18 @@ def _tokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray,
     return joined, cp, start, end, np.searchsorted(np.flatnonzero(cp == 10), start)
 
 
-def _quoted(joined: str, start: int) -> bool:
-    """Whether the window before a hit opens a quotation or holds a reporting cue."""
-    line = max(joined.rfind("\n", 0, start), joined.rfind("\r", 0, start)) + 1
-    before = joined[max(line, start - 400) : start]
-    opened = sum(before.count(q) for q in '"“«„') - sum(before.count(q) for q in "”»")
-    if before.count('"') % 2 or ("“" in before or "«" in before or "„" in before) and opened > 0:
-        return True
-    return any(w in CUES for w in re.findall(r"\w+", before[-60:])[-5:])
+def _quoted(joined: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Whether each hit's line opens a quotation before it, or one of the words before it is a reporting cue."""
+    at = start[token]
+    breaks = np.flatnonzero((cp == 10) | (cp == 13))
+    line = np.r_[0, breaks + 1][np.searchsorted(breaks, at)]
+    plain, opened, closed = (np.r_[0, np.cumsum(np.isin(cp, [ord(c) for c in marks]))] for marks in ('"', "“«„", "”»"))
+    out = (plain[at] - plain[line]) % 2 == 1
+    out |= opened[at] - opened[line] > closed[at] - closed[line]
+    for i in np.flatnonzero(~out).tolist():
+        near = slice(max(0, token[i] - CUE_WORDS), token[i])
+        out[i] = any(a >= line[i] and joined[a:b] in CUES for a, b in zip(start[near].tolist(), end[near].tolist(), strict=True))
+    return out
 
 
 def hits(automaton: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +191,7 @@ def hits(automaton: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray
         alive, state, at = alive[go], state[go], at[go]
     token = np.concatenate(done_token) if done_token else np.zeros(0, np.int64)
     states = np.concatenate(done_state) if done_state else np.zeros(0, np.int64)
-    kind = automaton.edits[states] + 2 * np.array([_quoted(joined, int(s)) for s in start[token]], np.int64)
+    kind = automaton.edits[states] + 2 * _quoted(joined, cp, start, end, token)
     return of[token], automaton.accepts[states], kind
 
 
@@ -193,7 +199,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("sw_toxic").to_pylist(), strict=True):
-            found = set(re.findall(r"[^\W_]{3,30}", _QUOTATION.sub(" ", (text or "").lower())))
+            found = set(re.findall(r"[^\W_]{3,}", _QUOTATION.sub(" ", (text or "").lower())))
             stems = {f"{w[:n]}*" for w in found for n in STEM_LETTERS if len(w) > n}
             for term in found | stems:
                 counts.setdefault(term, [0, 0])[toxic] += 1
@@ -224,15 +230,16 @@ def _choose(table: list[tuple[str, int, int]], toxic: int, clean: int, most: int
     return chosen
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, least_documents: int = 3, terms: int = 200, surprise: float = 12.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, least_documents: int = 3, terms: int = 200, surprise: float = 12.0, candidates: int = 4000) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, toxic 0 or 1) and the documents' texts.
 
     Rows with another or null label, without a document, or with null text are left out.  The sample
-    of about ``rows_per_class`` labels of each class is what is joined to the documents, so the
-    broadcast side is bounded by that parameter whatever the number of labels.
+    of about ``rows_per_class`` labels of each class (an id's equal labels are one) is what is joined
+    to the documents, so the broadcast side is bounded by that parameter whatever the number of labels.
+    ``terms`` are chosen from the ``candidates`` words and stems that mark the most toxic documents.
     """
     spark = docs.sparkSession
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("sw_toxic")).where("sw_toxic in (0, 1) and doc_id is not null")
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("sw_toxic")).where("sw_toxic in (0, 1) and doc_id is not null").distinct()
     size = {r["sw_toxic"]: r["n"] for r in rows.groupBy("sw_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         constant = -6.0 if size.get(0) or not size else 6.0
@@ -248,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, least_do
     rest = F.when(F.col("n_clean") > 0, (1 - f) * F.log((1 - f) / (1 - q))).otherwise(0.0)
     # chance of a term that says nothing to be this toxic, against the number of terms that are tried
     strong = counts.where(F.col("n_toxic") >= least_documents).where((f > 0.5 + q / 2) & (n * (f * F.log(f / q) + rest) >= surprise))
-    top = strong.orderBy(F.desc(F.col("n_toxic") - F.col("n_clean") * (toxic / clean)), "term").limit(20 * terms)
+    top = strong.orderBy(F.desc(F.col("n_toxic") - F.col("n_clean") * (toxic / clean)), "term").limit(candidates)
     chosen = _choose([tuple(r) for r in top.collect()], toxic, clean, terms)
     if not chosen:
         return ToxicityModel((), None, np.zeros((0, 4)), math.log(toxic / clean), (0.0, 0.0))
@@ -309,6 +316,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 def score(model: ToxicityModel, text: Column, spark) -> Column:
     """Score from 0 to 1 of every whole text; null and empty texts get the score without hits."""
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
