@@ -1,20 +1,21 @@
-"""Connected groups of members that share nodes, without pairs inside a group.
+"""Connected groups of members that share nodes, without pairs inside a large group.
 
 Near-duplicate operators put their members (distinct texts, never copies) into nodes: buckets whose
-members may be alike.  Wanted are the connected groups of the exact links, so it isn't needed to
-form every pair of a node.
-
-1. Every member of a node is paired with the node's centre only: the member nearest to the
-   coordinate-wise mode of the node's sketches, which in a group of edited copies is the text that
-   they come from.  Pairs that may be links by their sketches are verified on their full texts.
-2. Nodes whose members are all in one group by now are done.  In the others each member is compared
-   with every member of another group, exhaustively: first by sketches, which leaves the members
-   that may have a link to another group, then exactly, on full texts.  Large nodes are cut into
-   blocks of members and each pair of blocks is a task of its own, so no task grows with a node.  A
-   task gives back links that join groups, never all pairs.
-
-A link between two groups is therefore never lost, and a node of n members of one group costs n
-comparisons.  Intermediate tables are written to the shared folder.
+members may be alike.  Wanted are the connected groups of the exact links.
+
+1. Nodes of up to ``SMALL`` members: their pairs are compared by sketches, which leaves few.  Each
+   member's full text is compared with its least partner's first, then with those of the partners
+   that aren't linked to that one.
+2. Larger nodes: every member is paired with the centre of one of its nodes only, the member nearest to
+   the coordinate-wise mode of the node's sketches, which in a group of edited copies is the text that
+   they come from.  Nodes whose members are all in one group by now are done.  In the others all
+   members outside the node's largest group are compared with each other and with that group, first by
+   sketches, then exactly.  They are cut into blocks and each pair of blocks is a task of its own, so
+   no task grows with a node, and members of the largest group aren't compared with each other.
+
+No link between two groups is lost, and a node of n members of one group costs n comparisons.  A
+node that a sample shows to have more than ``HOT`` members is known as large before it is dealt to one task,
+and is never dealt so.  Intermediate tables are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,15 +24,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.durable import partitions, written
+from sievewright.llm.durable import partitions, released, written
+from sievewright.llm.kernels import slices
 
+#: Members of a node whose pairs are formed directly; of a node that isn't dealt to one task; share of members that show it.
+SMALL, HOT, SAMPLED = 128, 1 << 20, 64
 #: Bounds of a block: members, and bytes of payload.
 BLOCK, BLOCK_BYTES = 1024, 1 << 20
+#: Members whose sketches one salt of a node's mode takes.
+SALTED = 1 << 14
 _PAIRS = "a long, b long"
 
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by node and member: distinct members of nodes that have two at least."""
@@ -64,11 +72,82 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (out_node, out_member, out_first)], names=["node", "member", "first"])
 
 
+def in_sample() -> Column:
+    """Whether a member is in the sample that shows hot nodes."""
+    return F.pmod(F.xxhash64("member"), F.lit(SAMPLED)) == 0
+
+
+def hot_nodes(sampled: DataFrame) -> DataFrame | None:
+    """Nodes that have some ``HOT`` members or more by the nodes of a sample of the members, or None where there are none."""
+    counts = sampled.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    found = written(counts.where(F.col("n") * SAMPLED >= HOT).select("node"), "hot-nodes")
+    return found if found.head(1) else None
+
+
 def shared_nodes(nodes: DataFrame) -> DataFrame:
     """(node, member, first) of nodes with several members; streams over sorted partitions."""
     return nodes.select("node", "member").repartition("node").sortWithinPartitions("node", "member").mapInArrow(_several, "node long, member long, first long")
 
 
+def plausible_pairs(rows: DataFrame, near: Near, small: int | None = None) -> DataFrame:
+    """Plausible pairs (a, b) of small nodes, and (a, node) for each member of a large one, of rows (node, member, sketch)."""
+    dealt = rows.repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "member")
+    return dealt.select("node", "member", "sketch").mapInArrow(_paired(near, SMALL if small is None else small), "a long, b long, node long")
+
+
+def _paired(near: Near, small: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        node, member, sketch = none, none, None
+        hot = None  # the open node, once it is known to be large
+        for batch in _then_none(batches):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                node = np.r_[node, batch.column("node").to_numpy()]
+                member = np.r_[member, batch.column("member").to_numpy()]
+                more = _matrix(batch.column("sketch"))
+                sketch = more if sketch is None else np.r_[sketch, more]
+            if not len(node):
+                continue
+            new = np.r_[True, (node[1:] != node[:-1]) | (member[1:] != member[:-1])]
+            node, member, sketch = node[new], member[new], sketch[new]
+            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            held = np.diff(np.r_[starts, len(node)])
+            large = (held > small) | (node[starts] == hot if hot is not None else False)
+            hot = int(node[-1]) if large[-1] else None
+            end = len(node) if batch is None or large[-1] else starts[-1]  # an open small node waits
+            run_of = np.repeat(np.arange(len(starts)), held)
+            wide = large[run_of]
+            a, b = [none], [none]
+            at = np.flatnonzero((held[run_of] > 1) & ~wide & (np.arange(len(node)) < end))
+            for s in range(1, small):  # each step looks at those that have another member so far behind them
+                at = at[at + s < end]
+                at = at[run_of[at] == run_of[at + s]]
+                if not len(at):
+                    break
+                for lo in range(0, len(at), 16384):
+                    some = at[lo : lo + 16384]
+                    some = some[near(sketch[some], sketch[some + s])]
+                    a.append(member[some])
+                    b.append(member[some + s])
+            a, b = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            out = wide[:end]
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(member[:end][out])]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(int(out.sum()), pa.int64())]), pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(node[:end][out])])],
+                names=["a", "b", "node"],
+            )
+            node, member, sketch = node[end:], member[end:], sketch[end:]
+
+    return run
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(member, component) of all members of ``edges`` (a, b); a component is named by its least member.
 
@@ -133,34 +212,39 @@ def _mode_batch(out: list[tuple]) -> pa.RecordBatch:
 _MODE = "node long, sketch binary, weight binary"
 
 
-def _matrix(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+def _matrix(sketches: pa.Array) -> np.ndarray:
+    """Equally long binary values as the rows of a matrix of bytes."""
+    if not len(sketches):
+        return np.zeros((0, 1), np.uint8)
+    offsets = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1]
+    return np.frombuffer(sketches.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(sketches), -1)
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            same = (_matrix(batch.column("sketch").to_pylist()) == _matrix(batch.column("mode").to_pylist())).sum(axis=1)
+            same = (_matrix(batch.column("sketch")) == _matrix(batch.column("mode"))).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("member"), pa.array(same.astype(np.int32))], names=["node", "member", "same"])
 
 
-def _near_centre(near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+def _near_centre(near: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("sketch").to_pylist(), batch.column("centre_sketch").to_pylist()
-            ok = pa.array([bool(near(_matrix([a]), _matrix([b]))[0, 0]) for a, b in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("centre").filter(ok), batch.column("member").filter(ok)], names=["a", "b"])
+            if batch.num_rows:
+                ok = pa.array(near(_matrix(batch.column("sketch")), _matrix(batch.column("centre_sketch"))))
+                yield pa.RecordBatch.from_arrays([batch.column("centre").filter(ok), batch.column("member").filter(ok)], names=["a", "b"])
 
     return run
 
 
-def first_pairs(shared: DataFrame, sketched: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def first_pairs(sketched: DataFrame, near: Near) -> DataFrame:
     """Distinct pairs (a, b) of each node's centre with its members that may be links.
 
-    The mode is taken in two levels, over salts and then over the salts' modes, so a hot node is
-    spread; it only serves to choose the centre.
+    The mode is taken in two levels, over salts (as many as the node's size asks for) and then over the
+    salts' modes, so a hot node is spread; it only serves to choose the centre.
     """
-    salted = sketched.select("node", F.pmod(F.xxhash64("member"), F.lit(16)).alias("salt"), "sketch", F.lit(None).cast("binary").alias("weight"))
+    sizes = written(sketched.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SALTED).alias("salts")), "salts")
+    salted = sketched.join(sizes, "node").select("node", F.pmod(F.xxhash64("member"), "salts").alias("salt"), "sketch", F.lit(None).cast("binary").alias("weight"))
     parts = salted.repartition("node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_modes, _MODE)
     modes = parts.select("node", F.lit(0).cast("long").alias("salt"), "sketch", "weight").repartition("node").sortWithinPartitions("node").mapInArrow(_modes, _MODE)
     modes = written(modes.select("node", F.col("sketch").alias("mode")), "modes")
@@ -173,55 +257,61 @@ def first_pairs(shared: DataFrame, sketched: DataFrame, near: Callable[[np.ndarr
 
 
 def _block_tasks(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``rows`` (node, member, component, ...) dealt to tasks (node, i, j), one for each pair of blocks."""
-    held = F.sum(F.octet_length("payload")) / BLOCK_BYTES if "payload" in columns else F.lit(0.0)
-    size = written(rows.groupBy("node").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, held)).alias("blocks")), "block-counts")
-    rows = rows.join(size, "node").withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
-    return rows.repartition(partitions(rows.sparkSession), "node", "i", "j").sortWithinPartitions("node", "i", "j")
+    """``rows`` (main, member, component, ...) dealt to tasks (main, i, j), one for each pair of blocks that has to be compared.
 
-
-def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    The blocks of the group that all are compared with come last and meet only the others.
+    """
+    held = F.sum("weight") if "payload" in columns else F.sum(F.lit(0))
+    in_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, held / BLOCK_BYTES))
+    is_main = F.col("component") == F.col("main")
+    sizes = rows.groupBy("main", is_main.alias("own")).agg(in_blocks.alias("n"))
+    sizes = sizes.groupBy("main").agg(F.coalesce(F.max(F.when(~F.col("own"), F.col("n"))), F.lit(0)).alias("others"), F.coalesce(F.max(F.when(F.col("own"), F.col("n"))), F.lit(0)).alias("mains"))
+    rows = rows.join(written(sizes, "block-counts"), "main")
+    rows = rows.withColumn("block", F.when(is_main, F.col("others") + F.pmod(F.xxhash64("member"), "mains")).otherwise(F.pmod(F.xxhash64("member"), "others")))
+    met = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    rows = rows.where("others > 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), met - 1)))
+    rows = rows.select("main", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
+    return rows.repartition(partitions(rows.sparkSession), "main", "i", "j").sortWithinPartitions("main", "i", "j")
+
+
+def _sides(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the two blocks of a task (twice the same ones for a block with itself)."""
-    block = np.array([r[0] for r in rows])
     left = block == block.min()
     return np.flatnonzero(left), np.flatnonzero(left) if left.all() else np.flatnonzero(~left)
 
 
-def _partnered(near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """(node, member) of members with a plausible partner in another group."""
+def _across(near: Near, sketch: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Plausible pairs of members of different groups, a few rows of the left block at a time."""
+    for lo in range(0, len(left), 64):
+        part = left[lo : lo + 64]
+        ok = near(sketch[part][:, None], sketch[right][None]) & (group[part][:, None] != group[right][None, :])
+        x, y = np.nonzero(ok)
+        yield x + lo, y
+
+
+def _partnered(near: Near):
+    """(main, member) of members with a plausible partner in another group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: list[int] = []
-        members: list[int] = []
-        for (node, _, _), rows in _groups(batches, ("node", "i", "j"), ("block", "member", "component", "sketch")):
-            left, right = _sides(rows)
-            group, sketch = np.array([r[2] for r in rows], np.int64), _matrix([r[3] for r in rows])
+        for (main, _, _), rows in _groups(batches, ("main", "i", "j"), ("block", "member", "component", "sketch")):
+            left, right = _sides(np.array([r[0] for r in rows]))
+            group, sketch = np.array([r[2] for r in rows], np.int64), _matrix(pa.array([r[3] for r in rows], pa.binary()))
             hit = np.zeros(len(rows), bool)
-            for at in range(0, len(left), 64):
-                part = left[at : at + 64]
-                ok = near(sketch[part], sketch[right]) & (group[part][:, None] != group[right][None, :])
-                hit[part] |= ok.any(axis=1)
-                hit[right] |= ok.any(axis=0)
+            for x, y in _across(near, sketch, group, left, right):
+                hit[left[x]] = hit[right[y]] = True
             found = [rows[i][1] for i in np.flatnonzero(hit)]
-            nodes += [node] * len(found)
-            members += found
-            if len(members) > 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.int64())], names=["node", "member"])
-                nodes, members = [], []
-        if members:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.int64())], names=["node", "member"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([main] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["main", "member"])
 
     return run
 
 
-def _joining(near, links):
+def _joining(near: Near, links):
     """Links (a, b) that join groups, by comparing the full texts of plausible pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, ("node", "i", "j"), ("block", "member", "component", "sketch", "payload")):
-            left, right = _sides(rows)
+        for _, rows in _groups(batches, ("main", "i", "j"), ("block", "member", "component", "sketch", "payload")):
+            left, right = _sides(np.array([r[0] for r in rows]))
             head: dict[int, int] = {}
 
             def root(x: int, head=head) -> int:
@@ -230,14 +320,15 @@ def _joining(near, links):
                     x = up
                 return x
 
-            group, sketch, payload = np.array([r[2] for r in rows], np.int64), _matrix([r[3] for r in rows]), [r[4] for r in rows]
-            ok = near(sketch[left], sketch[right]) & (group[left][:, None] != group[right][None, :])
+            group, sketch, payload = np.array([r[2] for r in rows], np.int64), _matrix(pa.array([r[3] for r in rows], pa.binary())), [r[4] for r in rows]
+            pairs = list(_across(near, sketch, group, left, right))
+            n = sum(len(x) for x, _ in pairs)
+            compared = links([payload[i] for i in left], [payload[i] for i in right], n)
             out = []
-            compared = links([payload[i] for i in left], [payload[i] for i in right], ok)
-            for x, y in zip(*np.nonzero(ok), strict=True):
+            for x, y in ((int(x), int(y)) for part in pairs for x, y in zip(*part, strict=True)):
                 a, b = int(left[x]), int(right[y])
                 one, other = root(int(group[a])), root(int(group[b]))
-                if one != other and compared(int(x), int(y)):
+                if one != other and compared(x, y):
                     head[max(one, other)] = min(one, other)
                     out.append((min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])))
             if out:
@@ -248,48 +339,104 @@ def _joining(near, links):
 
 def _verified(links):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = np.ones((1, 1), bool)
         for batch in batches:
-            ok = pa.array([links([x.as_py()], [y.as_py()], one)(0, 0) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+            for lo, hi in slices(batch.column("x"), BLOCK_BYTES // 4):
+                x, y = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("x", "y"))
+                linked = links(x, y, 1)
+                ok = pa.array([linked(i, i) for i in range(hi - lo)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def connected(
-    nodes: DataFrame,
-    sketches: DataFrame,
-    payloads: Callable[[DataFrame], DataFrame],
-    near: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    links: Callable[[list, list, np.ndarray], Callable[[int, int], bool]],
-) -> DataFrame | None:
+def _confirmed(pairs: DataFrame, texts: DataFrame, links) -> DataFrame:
+    """The links among ``pairs`` (a, b), by full texts."""
+    both = pairs.join(texts.select(F.col("member").alias("a"), F.col("payload").alias("x")), "a").join(texts.select(F.col("member").alias("b"), F.col("payload").alias("y")), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(_verified(links), _PAIRS), "links")
+
+
+def grouped(met: DataFrame, sketches: DataFrame, payloads: Callable[[DataFrame], DataFrame], near: Near, links, hot: DataFrame | None = None) -> DataFrame | None:
+    """(member, component) of members with a link, or None where there is no link.
+
+    met: what ``plausible_pairs`` gives, written.  hot: (node, member) of large nodes that weren't dealt.
+    See ``connected`` for the others.
+    """
+    spark = met.sparkSession
+    pairs = written(met.where("node is null").select("a", "b").distinct(), "pairs")
+    large = met.where("node is not null").select("node", F.col("a").alias("member"))
+    if hot is not None:
+        large = large.unionByName(hot.select("node", "member"))
+    some = large.head(1)
+    members = pairs.select(F.col("a").alias("member")).union(pairs.select("b"))
+    if some:  # a row for each member: its nodes are as many as it has paths
+        large = written(large.groupBy("member").agg(F.collect_set("node").alias("nodes")).join(sketches, "member"), "large-nodes")
+        members = members.union(large.select("member"))
+    texts = payloads(members.distinct())
+    released(spark)
+    # each member is compared with its least partner first, then with those that aren't linked to that one
+    found = _confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, links)
+    head = found.select(F.col("a").alias("head"), F.col("b").alias("line"))
+    rest = pairs.join(head.select(F.col("line").alias("a"), F.col("head").alias("head_a")), "a", "left").join(head.select(F.col("line").alias("b"), F.col("head").alias("head_b")), "b", "left")
+    rest = written(rest.where("head_b is null or head_b <> coalesce(head_a, a) and head_b <> a").select("a", "b"), "other-pairs")
+    released(spark, pairs)
+    found = found.unionByName(_confirmed(rest, texts, links))
+    released(spark, rest)
+    if some:
+        centred = written(large.select(F.array_min("nodes").alias("node"), "member", "sketch"), "centred")
+        found = found.unionByName(_confirmed(written(first_pairs(centred, near), "first-pairs"), texts, links))
+        labels = components(found) if found.head(1) else None
+        labelled = large.withColumn("component", F.col("member"))
+        if labels is not None:
+            labelled = large.join(labels, "member", "left").withColumn("component", F.coalesce("component", "member"))
+        labelled = written(labelled, "labelled")
+        released(spark, large)
+        met_groups = _meetings(labelled)
+        asked = written(_block_tasks(met_groups, ("member", "component", "sketch")).mapInArrow(_partnered(near), "main long, member long").distinct(), "partnered")
+        released(spark)
+        if asked.head(1):
+            tasks = _block_tasks(written(met_groups.join(asked, ["main", "member"]).join(texts, "member"), "asked-rows"), ("member", "component", "sketch", "payload"))
+            found = found.unionByName(written(tasks.mapInArrow(_joining(near, links), _PAIRS).distinct(), "links"))
+        else:
+            return labels
+    released(spark, texts)
+    return components(found) if found.head(1) else None
+
+
+def _meetings(labelled: DataFrame) -> DataFrame:
+    """Rows (main, member, component, sketch) to be compared across components, of members (member, nodes, sketch, component).
+
+    A node's ``main`` is the component with most members there.  Its members of other components are to
+    be compared with each other and with that component, whose members stand there once however many
+    nodes they share.
+    """
+    placed = labelled.select(F.explode("nodes").alias("node"), "member", "component")
+    counts = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("node").alias("open_node"), F.col("m.component").alias("main"))
+    nodes = written(nodes, "open-nodes")
+    others = placed.join(nodes, (F.col("node") == F.col("open_node")) & (F.col("component") != F.col("main"))).select("main", "member").distinct()
+    mains = nodes.select("main").distinct()
+    own = labelled.join(mains, F.col("component") == F.col("main"), "left_semi").select(F.col("component").alias("main"), "member")
+    return written(others.unionByName(own).join(labelled.select("member", "component", "sketch"), "member"), "meetings")
+
+
+def connected(nodes: DataFrame, sampled: DataFrame, sketches: DataFrame, payloads: Callable[[DataFrame], DataFrame], near: Near, links: Callable[[list, list, int], Callable[[int, int], bool]]) -> DataFrame | None:
     """(member, component) of members with a link, or None where there is no link.
 
-    nodes: (node, member).  sketches: (member, sketch), one row a member, equally many bytes each.
-    payloads: from a table of members to (member, payload), one row each.  near: two matrices of
-    sketches to a matrix, true where a pair may be a link (no link may be missed).  links: two lists
-    of payloads, and which pairs will be asked for, to a function that tells whether pair (i, j) is
-    a link, exactly.
+    nodes: (node, member); sampled: those of members that are ``in_sample``.  sketches: (member, sketch),
+    one row a member, equally many bytes each.  payloads: from a table of members to (member, payload,
+    weight), one row each; weight is the bytes that a task needs for it.  near: two arrays of sketches
+    (bytes along the last axis, the others broadcast) to whether they may be links (no link may be
+    missed).  links: two lists of payloads, and the number of pairs that will be asked for at most, to
+    a function that tells whether pair (i, j) is a link, exactly.
     """
+    spark = nodes.sparkSession
+    hot = hot_nodes(sampled)
+    spread = None
+    if hot is not None:
+        spread = written(nodes.join(F.broadcast(hot), "node"), "hot-members")  # one node at most for every HOT rows
+        nodes = nodes.join(F.broadcast(hot), "node", "left_anti")
     shared = written(shared_nodes(nodes).select("node", "member"), "shared-nodes")
-    sketched = written(shared.join(sketches, "member"), "sketched-nodes")
-    pairs = written(first_pairs(shared, sketched, near), "first-pairs")
-    texts = payloads(pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct())
-    both = pairs.join(texts.select(F.col("member").alias("a"), F.col("payload").alias("x")), "a").join(texts.select(F.col("member").alias("b"), F.col("payload").alias("y")), "b")
-    found = written(both.select("a", "b", "x", "y").mapInArrow(_verified(links), _PAIRS), "links")
-    labels = components(found) if found.head(1) else None
-    grouped = sketched.withColumn("component", F.col("member"))
-    if labels is not None:
-        grouped = sketched.join(labels, "member", "left").withColumn("component", F.coalesce("component", "member"))
-    grouped = written(grouped, "grouped-nodes")
-    open_nodes = written(grouped.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node"), "open-nodes")
-    tasks = _block_tasks(grouped.join(open_nodes, "node"), ("member", "component", "sketch"))
-    asked = written(tasks.mapInArrow(_partnered(near), "node long, member long").distinct(), "partnered")
-    more = None
-    if asked.head(1):
-        texts = payloads(asked.select("member").distinct())
-        tasks = _block_tasks(grouped.join(asked, ["node", "member"]).join(texts, "member"), ("member", "component", "sketch", "payload"))
-        more = written(tasks.mapInArrow(_joining(near, links), _PAIRS).distinct(), "links")
-    if more is not None and more.head(1):
-        return components(found.unionByName(more))
-    return labels
+    released(spark)
+    met = written(plausible_pairs(shared.join(sketches, "member"), near), "met")
+    released(spark, shared)
+    return grouped(met, sketches, payloads, near, links, spread)

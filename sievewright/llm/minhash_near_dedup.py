@@ -10,7 +10,7 @@ probability below 1e-6 (``recall`` computes it).
 
 Depth grows with the logarithm of the number of sets, so leaves stay small unless their documents are alike.  Leaves are worked off by
 ``linkage.connected``: small ones exhaustively, large ones (groups of near copies) by comparing each
-document with the leaf's first one, then only across groups that aren't connected yet.  All links are
+document with the leaf's centre, then only across groups that aren't connected yet.  All links are
 confirmed on the full sets.  Documents with equal sets are one member throughout.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import kernels as K
 from sievewright.llm.durable import released, written
-from sievewright.llm.linkage import connected
+from sievewright.llm.linkage import connected, in_sample
 
 VALUES = 64
 SECOND = 0.25  # chance of a second branch: 1.25 branches on average
@@ -142,7 +142,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _may_link(least: int):
     def compare(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (x[:, None, :] == y[None, :, :]).sum(axis=2) >= least
+        return (x == y).sum(axis=-1) >= least
 
     return compare
 
@@ -150,7 +150,7 @@ def _may_link(least: int):
 def _set_links(size: int, percent: int):
     """Exact links of packed texts: 100 * intersection >= percent * union of their full sets."""
 
-    def links(left: list[bytes], right: list[bytes], asked: np.ndarray):
+    def links(left: list[bytes], right: list[bytes], asked: int):
         unpack = zstandard.ZstdDecompressor()
 
         def sets(packed: list[bytes]) -> list[np.ndarray]:
@@ -158,7 +158,7 @@ def _set_links(size: int, percent: int):
             return [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
         x, y = sets(left), sets(right)
-        if asked.size < 64:
+        if asked < 64:
             def both(i: int, j: int) -> int:
                 return len(np.intersect1d(x[i], y[j], assume_unique=True))
         else:
@@ -207,7 +207,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         packed = pa.array([pack.compress(x.as_buffer()) for x in batch.column("text").cast(pa.binary())], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("sw_k"), batch.column("sw_t"), packed], names=["sw_k", "sw_t", "sw_z"])
+        yield pa.RecordBatch.from_arrays([batch.column("sw_k"), batch.column("sw_t"), packed, batch.column("sw_n")], names=["sw_k", "sw_t", "sw_z", "sw_n"])
 
 
 def address() -> list:
@@ -242,19 +242,19 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int, percent: int, tre
     )
     n = members.count()
     depth = max(3, math.ceil(math.log(max(n, 1)) / 3.2))
-    leaves = members.select("member", "signature").mapInArrow(_leaves(trees, depth), "node long, member long")
+    leaves, sampled = (some.select("member", "signature").mapInArrow(_leaves(trees, depth), "node long, member long") for some in (members, members.where(in_sample())))
     sketches = members.select("member", "signature").mapInArrow(_sketch, "member long, sketch binary")
-    packed = keyed.mapInArrow(_pack, "sw_k long, sw_t long, sw_z binary")
+    packed = keyed.withColumn("sw_n", F.octet_length("text")).mapInArrow(_pack, "sw_k long, sw_t long, sw_z binary, sw_n int")
     places = members.select("member", F.col("where.sw_k").alias("sw_k"), F.col("where.sw_t").alias("sw_t"))
 
     def payloads(asked: DataFrame) -> DataFrame:
         wanted = asked.join(places, "member").hint("merge")  # alike at every size, so that growth can be told
-        return written(packed.join(wanted, ["sw_k", "sw_t"]).dropDuplicates(["member"]).select("member", F.col("sw_z").alias("payload")), "asked-texts")
+        return written(packed.join(wanted, ["sw_k", "sw_t"]).dropDuplicates(["member"]).select("member", F.col("sw_z").alias("payload"), F.col("sw_n").alias("weight")), "asked-texts")
 
     # equal minwise values of a linked pair: at least this many, but for a chance of some 1e-6
     share = percent / 100
     least = math.floor(VALUES * share - 4.7 * math.sqrt(VALUES * share * (1 - share)))
-    found = connected(leaves, sketches, payloads, _may_link(least), _set_links(shingle_words, percent))
+    found = connected(leaves, sampled, sketches, payloads, _may_link(least), _set_links(shingle_words, percent))
     if found is None:
         groups = members.select("member", F.col("least").alias("sw_c"), F.col("member").alias("sw_g"))
     else:
