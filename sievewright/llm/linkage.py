@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from sievewright.llm.durable import partitions, released, written
 from sievewright.llm.kernels import slices
 
-#: Members of a node whose pairs are formed directly; of a node that isn't dealt to one task; share of members that show it.
-SMALL, HOT, SAMPLED = 128, 1 << 20, 64
+#: Members of a node whose pairs are formed directly; of one whose members without a plausible partner are left out at once.
+SMALL, MIDDLE = 16, 1024
+#: Members of a node that isn't dealt to one task, and one in so many members shows it.
+HOT, SAMPLED = 1 << 20, 64
 #: Bounds of a block: members, and bytes of payload.
 BLOCK, BLOCK_BYTES = 1024, 1 << 20
 #: Members whose sketches one salt of a node's mode takes.
@@ -90,7 +92,10 @@ def shared_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def plausible_pairs(rows: DataFrame, near: Near, small: int | None = None) -> DataFrame:
-    """Plausible pairs (a, b) of small nodes, and (a, node) for each member of a large one, of rows (node, member, sketch)."""
+    """Plausible pairs (a, b) of small nodes, and (a, node) for members of larger ones, of rows (node, member, sketch).
+
+    Up to ``MIDDLE`` members are compared by sketches here, so members without a plausible partner go no further.
+    """
     dealt = rows.repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "member")
     return dealt.select("node", "member", "sketch").mapInArrow(_paired(near, SMALL if small is None else small), "a long, b long, node long")
 
@@ -114,13 +119,12 @@ def _paired(near: Near, small: int):
             node, member, sketch = node[new], member[new], sketch[new]
             starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             held = np.diff(np.r_[starts, len(node)])
-            large = (held > small) | (node[starts] == hot if hot is not None else False)
+            large = (held > MIDDLE) | (node[starts] == hot if hot is not None else False)
             hot = int(node[-1]) if large[-1] else None
-            end = len(node) if batch is None or large[-1] else starts[-1]  # an open small node waits
+            end = len(node) if batch is None or large[-1] else starts[-1]  # any other open node waits
             run_of = np.repeat(np.arange(len(starts)), held)
-            wide = large[run_of]
             a, b = [none], [none]
-            at = np.flatnonzero((held[run_of] > 1) & ~wide & (np.arange(len(node)) < end))
+            at = np.flatnonzero(((held > 1) & (held <= small) & ~large)[run_of] & (np.arange(len(node)) < end))
             for s in range(1, small):  # each step looks at those that have another member so far behind them
                 at = at[at + s < end]
                 at = at[run_of[at] == run_of[at + s]]
@@ -131,9 +135,14 @@ def _paired(near: Near, small: int):
                     some = some[near(sketch[some], sketch[some + s])]
                     a.append(member[some])
                     b.append(member[some + s])
+            out = large[run_of][:end]
+            for run in np.flatnonzero((held > small) & ~large & (starts < end)).tolist():
+                lo, hi = starts[run], starts[run] + held[run]
+                for row in range(lo, hi, 64):
+                    ok = near(sketch[row : min(row + 64, hi), None], sketch[None, lo:hi])
+                    out[row : min(row + 64, hi)] = ok.sum(axis=1) > 1  # each is near itself
             a, b = np.concatenate(a), np.concatenate(b)
             pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            out = wide[:end]
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(member[:end][out])]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(int(out.sum()), pa.int64())]), pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(node[:end][out])])],
                 names=["a", "b", "node"],
