@@ -135,6 +135,35 @@ def test_repeated_lines_without_spaces(spark, by_edits):
     assert {r.doc_id: r.text for r in N.dedup_lines(documents(spark, rows), by_edits=by_edits).collect()} == {1: rows[0][1], 2: "你好\n別的"}
 
 
+@pytest.mark.parametrize("words", [8, 12, 20, 40])
+def test_recall_of_edited_lines(words):
+    rng = random.Random(words)
+    lines = [prose(7000 + i, words, 300).split() for i in range(150)]
+    edited = [list(x) for x in lines]
+    for x in edited:
+        for i in rng.sample(range(words), words // 5):
+            x[i] = f"new{rng.choice('abcdefgh')}"
+
+    def filed(some):
+        got = N.lines_of([" ".join(x) for x in some])
+        hashes = N._hashed(got)
+        line, key = N.block_keys(hashes, got.first, np.zeros(N.SLOTS, np.uint8), np.ones(len(some), bool))
+        heads = N._distinct(hashes, got.first)
+        sketch = N._sketches(N._sims(*heads), N._sims(N.K.mix(heads[0]), heads[1]), np.diff(got.first))
+        return [set(key[line == i].tolist()) for i in range(len(some))], np.frombuffer(sketch.buffers()[2], np.uint8).reshape(len(some), -1)
+
+    (a, x), (b, y) = filed(lines), filed(edited)
+    found = np.array([bool(i & j) for i, j in zip(a, b, strict=True)]) & N._plausible(0.8)(x, y)
+    assert all(5 * N.edit_distance(i, j) <= words for i, j in zip(lines, edited, strict=True)) and found.mean() >= 0.9
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f\nx 1", 5, "m", 7), (2, "a b c d e f\nx 2\nx  1!", 6, "n", 8), (None, None, 9, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sw_k long, N_Removed string, sw_gone long")
+    got = {r.doc_id: tuple(r) for r in N.dedup_lines(docs, by_edits=True, exact_from=1).collect()}
+    assert got == {1: (1, rows[0][1], 5, "m", 7, 2), 2: (2, "x 2", 6, "n", 8, 3), None: (*rows[2], 0)}
+
+
 def test_edit_distance():
     def slow(x, y):
         row = list(range(len(y) + 1))
