@@ -23,15 +23,18 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.durable import bounded_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*>", re.S)
+_SPECIAL = re.compile("[>\"']")
 _NAMED = {"class", "id", "role", "aria-label", "itemprop"}
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 #: Fixed sets of HTML's elements.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "select", "option", "noframes", "xmp"}
+RAW = {"script", "style", "template", "iframe", "textarea", "title", "select", "option", "noframes", "annotation", "annotation-xml", "desc", "metadata"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
+#: Elements of formulas and drawings, which may close themselves.
+FOREIGN = {"math", "mi", "mn", "mo", "ms", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "mtext", "mspace", "mstyle", "mpadded", "mphantom", "menclose", "merror", "semantics", "svg", "g", "text", "tspan", "textpath", "path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "defs", "use", "symbol", "marker", "lineargradient", "radialgradient", "stop", "clippath", "mask", "pattern", "image", "foreignobject"}
+INLINE = FOREIGN | {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "noscript", "object", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Fixed words of class, id and role values; boilerplate and content.
@@ -46,6 +49,7 @@ _NEGATED = re.compile(r"(?:^|[_-])(?:no|not|non|has|is|with|without|hide|show)[_
 _LISTING = re.compile(r"languages?[_-](?!(?:switch\w*|select\w*|pick\w*|choos\w*|list|links?)$)[^_-]+$", re.I)
 #: Costs of a class word that is all of a name or its last part, the first part of a class, or any other part.
 _WHOLE, _FIRST, _PART = -8.0, -5.5, -2.5
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)$", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|entry\w*|post-?(?:body|content|text)|story\w*|body-?(?:text|copy)|prose|text|post)(?=$|[\s_-])", re.I)
 _PLACE = {"nav": -9.0, "aside": -9.0, "footer": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "header": -9.0, "fieldset": -9.0}
 
@@ -84,38 +88,96 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("bad", "good", "number", "soft", "tag")
+    """An open element, with what its blocks inherit: costs, whether it holds content, and their containers.
 
-    def __init__(self, tag: str, number: int, bad: float, good: bool, soft: float):
-        self.tag, self.number, self.bad, self.good, self.soft = tag, number, bad, good, soft
+    ``title`` has the costs for headings, which stay with the content that a header stands in.
+    """
+
+    __slots__ = ("good", "holder", "number", "outer", "place", "soft", "tag", "title")
+
+    def __init__(self, tag: str, number: int, parent: _Element | None, bad: float = 0.0, good: bool = False, soft: float = 0.0, header: bool = False):
+        self.tag, self.number, self.good = tag, number, good
+        form = bad if tag in ("form", "fieldset") else 0.0
+        bad -= form
+        self.place, self.soft = (bad, form), soft
+        self.title = (self.place, good, soft)
+        self.holder = self.outer = self
+        if parent is not None:
+            self.good |= parent.good
+            outer_form = 0.0 if tag in ("article", "main") else parent.place[1]  # a form around an article is the page's
+            self.place, self.soft = (min(bad, parent.place[0]), min(form, outer_form)), min(soft, parent.soft)
+            place, in_title, title_soft = parent.title
+            if header and in_title:
+                self.title = parent.title
+            else:
+                title_form = 0.0 if tag in ("article", "main") else place[1]
+                self.title = ((min(bad, place[0]), min(form, title_form)), in_title or good, min(soft, title_soft))
+            if tag in INLINE:
+                self.holder = parent.holder
+            if tag in INLINE or tag in ("p", "li") or tag in HEADINGS:
+                self.outer = parent.outer
+
+
+class _Ends:
+    """Where tags end: at the first ``>`` outside of quotes, or at the first one if the quotes don't close.
+
+    Quotes that were followed in vain are remembered, so all tags of a page take time linear in it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.vain, self.ahead = page, set(), -1
+
+    def after(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose name ends at ``at``; there is one beyond it."""
+        page = self.page
+        first = page.find(">", at)
+        if page.find('"', at, first) < 0 and page.find("'", at, first) < 0:
+            return first
+        seen = []
+        if self.ahead < at:
+            self.ahead = _SPECIAL.search(page, at).start()
+        i = self.ahead
+        while i not in self.vain:
+            if page[i] == ">":
+                return i
+            seen.append(i)
+            close = page.find(page[i], i + 1)
+            m = _SPECIAL.search(page, close + 1) if close >= 0 else None
+            if not m:
+                break
+            i = m.start()
+        self.vain.update(seen)
+        return first
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; scripts, styles, comments and hidden parts have none."""
+    """Text blocks in page order; scripts, styles, comments and hidden parts have none.
+
+    A tag that the page's end cuts off is no text.  Takes time linear in the page.
+    """
     found: list[tuple[str, float, int, str, float, bool, float]] = []
-    root = _Element("", 0, 0.0, False, 0.0)
+    root = _Element("", 0, None)
     stack, count = [root], 0
+    opened: dict[str, int] = {}
+    ends, last = _Ends(page), page.rfind(">")
+    over_none: set[str] = set()
     parts: list[str] = []
     linked = total = 0
     in_link = 0
     at, end = 0, len(page)
 
+    def pop() -> None:
+        opened[stack.pop().tag] -= 1
+
     def close() -> None:
         nonlocal parts, linked, total
         text = "".join(parts) if total else ""
         text = " ".join((htmllib.unescape(text) if "&" in text else text).split())
         if text:
-            holder = next(e for e in reversed(stack) if e.tag not in INLINE)
-            outer = next((e for e in reversed(stack) if e.tag not in INLINE and e.tag not in ("p", "li") and e.tag not in HEADINGS), root)
-            bad = soft = 0.0
-            good = False
-            heading = holder.tag in HEADINGS
-            for e in stack:
-                if e.tag == "header" and heading and good:
-                    continue  # an article's own title stays with it
-                bad, soft = min(bad, e.bad), min(soft, e.soft)
-                good |= e.good
-            found.append((text, linked / total, outer.number, holder.tag, bad, good, soft))
+            e = stack[-1]
+            tag = e.holder.tag
+            (bad, form), good, soft = e.title if tag in HEADINGS else (e.place, e.good, e.soft)
+            found.append((text, linked / total, e.outer.number, tag, min(bad, form), good, soft))
         parts, linked, total = [], 0, 0
 
     while at < end:
@@ -131,24 +193,30 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         if not m[2]:
             continue
+        if at > last:  # nothing ends this tag
+            break
+        stop = ends.after(at)
+        inside, at = page[at:stop], stop + 1
         tag = m[2].lower()
         if m[1]:
             if tag in INLINE:
                 in_link = max(0, in_link - (tag == "a"))
-            if any(e.tag == tag for e in stack):
+            if opened.get(tag):
                 if tag not in INLINE:
                     close()
                     in_link = 0
                 while stack[-1].tag != tag and (tag not in INLINE or stack[-1].tag in INLINE):
-                    stack.pop()
+                    pop()
                 if stack[-1].tag == tag:
-                    stack.pop()
+                    pop()
             elif tag not in INLINE:
                 close()
             continue
         if tag in RAW:
             if page[at - 2] != "/":
-                over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                over = None if tag in over_none else re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(page, at, last + 1)
+                if not over:
+                    over_none.add(tag)
                 at = over.end() if over else (end if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag in ("br", "wbr", "img"):
@@ -161,26 +229,28 @@ def blocks(page: str) -> list[Block]:
             in_link = 0
             if tag in CLOSES:
                 while len(stack) > 1 and (stack[-1].tag in CLOSES[tag] or stack[-1].tag in INLINE):
-                    stack.pop()
+                    pop()
             elif stack[-1].tag == "p" or stack[-1].tag in INLINE:  # a block ends an open paragraph
                 while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag in INLINE):
-                    stack.pop()
-        if tag in VOID:
+                    pop()
+        if tag in VOID or (tag in FOREIGN and inside.endswith("/")):
             continue
         bad, good = _PLACE.get(tag, 0.0), tag in ("article", "main")
-        soft = 0.0
-        if m[3]:
-            attributes = _attributes(m[3])
+        soft, header = 0.0, tag == "header"
+        if inside:
+            attributes = _attributes(inside)
             for kind, value in attributes:
                 if kind in _NAMED:
                     for name in value.split() if kind == "class" else ["-".join(value.split())]:
                         cost = name_cost(kind, name) if tag not in ("body", "html", "article", "main") else 0.0
                         soft = min(soft, cost)
+                        header |= cost == _WHOLE and kind == "class" and bool(_HEADER.search(name))
                         good |= not cost and bool(_GOOD.search(name))
             if _hidden(attributes):
                 bad = -20.0
         count += 1
-        stack.append(_Element(tag, count, bad, good, soft))
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(_Element(tag, count, stack[-1], bad, good, soft, header))
     close()
     in_article = any(f[5] for f in found)
     return [Block(text, links, container, _odds(text, links, tag, bad, good, in_article, soft)) for text, links, container, tag, bad, good, soft in found]

@@ -1,6 +1,7 @@
 """Language ID, toxicity, HTML extraction, decontamination and chat formatting."""
 
 import hashlib
+import time
 
 import pyarrow as pa
 import pytest
@@ -135,6 +136,34 @@ def test_broken_pages(bad):
     assert isinstance(H.extract(bad), str)
 
 
+SENTENCE = "This is the real text of the article, with more than twelve words in it, so it is kept."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<form id="aspnetForm"><article><h1>Title</h1><p>{SENTENCE}</p></article></form>', f"Title {SENTENCE}"),
+        (f'<article><p>{SENTENCE}</p><form><p>{SENTENCE}</p></form></article>', SENTENCE),
+        (f'<article><div class="post-header"><h1>Title</h1></div><p>{SENTENCE}</p></article>', f"Title {SENTENCE}"),
+        (f'<article><header><h1>Title</h1><p>By one</p></header><p>{SENTENCE}</p></article>', f"Title {SENTENCE}"),
+        (f"<article><p>{SENTENCE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>", f"{SENTENCE} x=2"),
+        (f'<article><p>{SENTENCE} <svg><path d="M0"/><text>label</text></svg></p></article>', f"{SENTENCE} label"),
+        (f"<article><noscript><p>{SENTENCE}</p></noscript><object><p>{SENTENCE}</p></object></article>", f"{SENTENCE} {SENTENCE}"),
+        (f'<article><p title="a > b">{SENTENCE}</p></article><a href="cut', SENTENCE),
+        (f'<article><p title="never closed>{SENTENCE}</p></article>', SENTENCE),
+    ],
+)
+def test_parts_of_the_article(page, text):
+    assert H.extract(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, '<a ">" ' * 100_000, '<a ""' * 100_000 + "'>", "<a '>" * 100_000, "<svg><path/>" * 50_000, "<select>" * 100_000, "<" * 1_000_000])
+def test_long_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    H.extract(page)
+    assert time.process_time() - began < 20  # quadratic: minutes
+
+
 def test_min_cut_is_minimal():
     import itertools
     import random
