@@ -25,6 +25,8 @@ from sievewright.llm.durable import bounded_batches, partitions
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525893)
 SPAN, SKETCH = 16, 48
+#: Powers that a worker keeps between texts; a longer text's are made for it alone.
+KEPT_POWERS = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -34,7 +36,7 @@ def _power_table(which: int, n: int) -> np.ndarray:
     while len(have) < n:
         step = pow(BASES[which], len(have), PRIMES[which])
         have = np.concatenate([have, have * np.uint64(step) % np.uint64(PRIMES[which])])
-    _powers[which] = have
+    _powers[which] = have[:KEPT_POWERS]
     return have[:n]
 
 
@@ -89,7 +91,7 @@ def _inverse_table(which: int, n: int) -> np.ndarray:
     while len(have) < n:
         step = pow(pow(BASES[which], -1, p), len(have), p)
         have = np.concatenate([have, have * np.uint64(step) % np.uint64(p)])
-    _inverse[which] = have
+    _inverse[which] = have[:KEPT_POWERS]
     return have[:n]
 
 
@@ -133,39 +135,74 @@ def likeness(a: str, b: str) -> float:
     return 2 * jaccard / (1 + jaccard)
 
 
-def _boundaries(rows: DataFrame, buckets: int) -> list[int]:
-    """At most ``buckets`` - 1 order keys that cut the rows into even ranges."""
-    if buckets < 2:
-        return []
-    cuts = rows.agg(F.percentile_approx("sw_k", [i / buckets for i in range(1, buckets)], 10000).alias("c")).collect()[0]["c"]
-    return sorted(set(cuts or []))
+#: Ranges of ids for each partition, so that ranges of long texts can be dealt evenly by bytes.
+RANGES = 4
+
+
+def _boundaries(rows: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``ranges`` - 1 keys (sw_k, sw_t) that cut the rows into even ranges.
+
+    A key that several cuts fall on holds many rows; these are cut by their text's hash, which is even.
+    """
+    cuts = rows.agg(F.percentile_approx("sw_k", [i / ranges for i in range(1, ranges)], 10000).alias("c")).collect()[0]["c"]
+    keys, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    of = np.repeat(np.arange(len(keys)), times)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    return keys[of], np.array([-(1 << 63) + (int(i) << 64) // int(times[j]) for i, j in zip(step, of, strict=True)], np.int64)
+
+
+def _range_of(cuts: tuple[np.ndarray, np.ndarray], k: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Range of each key; the first range has the largest ones."""
+    low, high = (np.searchsorted(cuts[0], k, side) for side in ("left", "right"))
+    below = low.copy()
+    for at in np.unique(low[high > low]):
+        own = (low == at) & (high > low)
+        below[own] = at + np.searchsorted(cuts[1][at : high[own][0]], t[own], "right")
+    return len(cuts[0]) - below
+
+
+def _dealt(sizes: list[int], parts: int) -> list[int]:
+    """Partition of each range: consecutive ones together, about as many bytes in each."""
+    ends = np.cumsum([x + 1 for x in sizes])
+    return ((ends - 1) * parts // ends[-1]).tolist()
 
 
 def in_descending_order(rows: DataFrame) -> DataFrame:
     """Rows of each id range sorted in one partition, each range followed by a copy of the next one's head.
 
     ``rows`` has sw_k, sw_t and text; sw_copy marks the copies.  Texts are shuffled once.  The driver
-    holds one key for each range, never a text.
+    holds one key and one size for each range (RANGES a partition), never a text.
     """
     n = partitions(rows.sparkSession)
     bounded_batches(rows.sparkSession)
-    cuts = _boundaries(rows.select("sw_k"), n)
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0), lambda n, c: n + (c >= F.col("sw_k")).cast("int"))
-    ranged = rows.withColumn("sw_b", bucket)
-    heads = {r["sw_b"]: r["h"] for r in ranged.groupBy("sw_b").agg(F.max(F.struct("sw_k", "sw_t")).alias("h")).collect()}
-    if not heads:
-        return ranged.withColumn("sw_copy", F.lit(False))
-    order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    where = F.create_map(*[x for b in order for x in (F.lit(b), F.struct(F.lit(heads[b][0]).cast("long").alias("k"), F.lit(heads[b][1]).cast("long").alias("t"), F.lit(before[b]).alias("b")))])
-    head = where[F.col("sw_b")]
-    own = F.struct(F.col("sw_b").alias("b"), F.lit(False).alias("c"))
-    twice = F.when((head["k"] == F.col("sw_k")) & (head["t"] == F.col("sw_t")), F.array(own, F.struct(head["b"].alias("b"), F.lit(True).alias("c")))).otherwise(F.array(own))
-    placed = ranged.withColumn("sw_at", F.explode(twice)).drop("sw_b")
-    placed = placed.withColumn("sw_b", F.col("sw_at.b")).withColumn("sw_copy", F.col("sw_at.c")).drop("sw_at")
-    return placed.repartition(n, "sw_b").sortWithinPartitions("sw_b", "sw_copy", F.desc("sw_k"), F.desc("sw_t"))
+    cuts = _boundaries(rows.select("sw_k"), RANGES * n)
+
+    @F.arrow_udf("int")
+    def range_of(k: pa.Array, t: pa.Array) -> pa.Array:
+        return pa.array(_range_of(cuts, k.to_numpy(), t.to_numpy()).astype(np.int32))
+
+    sized = rows.select("sw_k", "sw_t", F.octet_length("text").cast("long").alias("size"))
+    found = sized.groupBy(range_of("sw_k", "sw_t").alias("sw_b")).agg(F.max(F.struct("sw_k", "sw_t")).alias("h"), F.sum("size").alias("size")).orderBy("sw_b").collect()
+    if not found:
+        return rows.withColumn("sw_b", F.lit(0)).withColumn("sw_copy", F.lit(False))
+    order = np.array([r["sw_b"] for r in found])
+    heads = np.array([[r["h"][0], r["h"][1]] for r in found], np.int64)
+    part = np.array(_dealt([r["size"] for r in found], n))
+    kind = pa.list_(pa.struct([("p", pa.int32()), ("b", pa.int32()), ("c", pa.bool_())]))
+
+    @F.arrow_udf("array<struct<p:int,b:int,c:boolean>>")
+    def places(k: pa.Array, t: pa.Array) -> pa.Array:
+        k, t = k.to_numpy(), t.to_numpy()
+        at = np.searchsorted(order, _range_of(cuts, k, t))
+        head = (heads[at, 0] == k) & (heads[at, 1] == t)
+        out = [[{"p": int(part[i]), "b": int(order[i]), "c": False}] for i in at]
+        for x in np.flatnonzero(head):
+            i = at[x] - 1  # the range before; the first range's head follows the last range
+            out[x].append({"p": int(part[i]), "b": int(order[i]), "c": True})
+        return pa.array(out, kind)
+
+    placed = rows.withColumn("sw_at", F.explode(places("sw_k", "sw_t"))).select(*rows.columns, F.col("sw_at.p").alias("sw_p"), F.col("sw_at.b").alias("sw_b"), F.col("sw_at.c").alias("sw_copy"))
+    return placed.repartitionById(n, F.col("sw_p")).sortWithinPartitions("sw_b", "sw_copy", F.desc("sw_k"), F.desc("sw_t"))
 
 
 class _Document:
@@ -222,7 +259,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     Takes doc_id and text; other columns are ignored.  Null text is empty.  A null doc_id counts as
     larger than every id.  Rows with one doc_id are ordered by their text's hash; equal rows follow
-    each other and are returned once each.  A single row is its own next document; an empty table
+    each other and are returned once each; an id that holds very many rows is cut by that hash.  A single row is its own next document; an empty table
     gives no rows.  A worker holds two documents at a time.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm import fingerprints as P
 from sievewright.llm import line_dedup as N
@@ -45,6 +46,25 @@ def test_edited_texts(spark):
     assert P.fingerprint_documents(documents(spark, [(1, "abcd")])).collect()[0].edited_text == "abab"
 
 
+def test_ranges_of_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(P, "KEPT_POWERS", 64)
+    rows = [(None, prose(3000 + i, 20)) for i in range(300)] + [(5, "b" * 9), (5, "b" * 9)] + [(i, prose(i, 8)) for i in range(60)]
+    ordered = P.in_descending_order(documents(spark, rows).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("sw_k"), F.xxhash64("text").alias("sw_t"), "text"))
+    placed = ordered.select(F.spark_partition_id().alias("p"), "sw_b", "sw_copy", "sw_k").collect()
+    own = [r for r in placed if not r.sw_copy]
+    assert len(own) == len(rows) and len({r.p for r in own if r.sw_k == (1 << 63) - 1}) > 2
+    assert len({r.p for r in placed}) == 4 and all(len({r.p for r in placed if r.sw_b == b}) == 1 for b in {r.sw_b for r in placed})
+    got = P.fingerprint_documents(documents(spark, rows)).collect()
+    keyed = spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", F.xxhash64("text")).collect()
+    hashes = dict(map(tuple, keyed))
+    order = sorted(((1 << 63) - 1 if d is None else d, hashes[t], t) for d, t in rows)[::-1]
+    want = []
+    for i, (_, _, t) in enumerate(order):
+        following = order[(i + 1) % len(order)][2]
+        want.append(t[: len(t) - len(t) // 2] + following[: len(t) // 2])
+    assert sorted(r.edited_text for r in got) == sorted(want)
+
+
 # line dedup
 
 
