@@ -10,9 +10,12 @@ A capitalised word that opens a sentence is a word in one reading and a name in
 matched, as a copy may stand behind a comma or a line break.  Windows of mostly placeholders say too
 little as templates and are matched by their literal words.
 
+Names and numbers of several words are matched word by word and, where a text has such runs, a second
+time with each run as one placeholder, so "Anna" may have become "Mary Ann".
+
 Matches of one document and item that lie on one diagonal form a passage.  Its slots must be
-consistent: the same number, name or unit of the item must stand for the same one of the document
-throughout.  An item leaks if passages cover ``min_share`` of its tokens, or one of them has ``min_run``
+consistent: the same name or unit of the item must stand for the same one of the document throughout;
+equal numbers may be equal by chance and may part.  An item leaks if passages cover ``min_share`` of its tokens, or one of them has ``min_run``
 tokens.  An inconsistent passage is cut before each slot that contradicts an earlier one, and counts
 only if a part has ``min_run`` tokens.
 """
@@ -40,6 +43,10 @@ UNITS = (
     "ml l litre litres liter liters gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros usd eur gbp percent degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons hertz hz mph kmh"
 ).split()
+#: Fixed words for numbers ("one" is mostly a pronoun).
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_ONES = "one two three four five six seven eight nine".split()
+COUNTS = [*_ONES[1:], *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split(), *_TENS, *(f"{a}-{b}" for a in _TENS for b in _ONES)]
 _MARKS = np.zeros(256, bool)
 _MARKS[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _STOPS = np.zeros(256, bool)
@@ -47,7 +54,7 @@ _STOPS[[ord(c) for c in ".!?:"]] = True
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
 _NUMBER, _NAME, _UNIT = (K.mix(np.array([x], K.U))[0] for x in (101, 102, 103))
-_units: list[np.ndarray] = []
+_known: dict[str, np.ndarray] = {}
 
 
 @dataclass(frozen=True)
@@ -64,6 +71,9 @@ class Templates:
     named: np.ndarray
     any_slot: np.ndarray
     literal: np.ndarray
+    #: Numbers, and texts with runs of names or numbers.
+    number: np.ndarray
+    runs: np.ndarray
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -75,21 +85,29 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def templates(text: pa.Array) -> Templates:
+def _among(code: np.ndarray, name: str, words: list[str]) -> np.ndarray:
+    if name not in _known:
+        b, o = K.utf8(pa.array(words))
+        s, e, _ = K.words(b, o)
+        _known[name] = np.sort(K.word_hashes(b, s, e))
+    known = _known[name]
+    at = np.searchsorted(known, code)
+    return (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == code)
+
+
+def templates(text: pa.Array, merged: bool = False) -> Templates:
+    """Template tokens of texts; ``merged`` makes each run of capitalised words or of numbers one token."""
     data, offsets = K.utf8(text)
     start, end, first = K.words(data, offsets)
     stops = np.zeros(len(start), bool)
-    for _ in range(64):
-        at = (end > start) & _MARKS[data[np.maximum(end - 1, 0)]] if len(data) else np.zeros(0, bool)
-        if not at.any():
-            break
-        stops |= at & _STOPS[data[np.maximum(end - 1, 0)]]
-        end = end - at
-    for _ in range(64):
-        at = (end > start) & _MARKS[data[np.minimum(start, len(data) - 1)]] if len(data) else np.zeros(0, bool)
-        if not at.any():
-            break
-        start = start + at
+    if len(start):  # punctuation around words, however much it is
+        place, mark = np.arange(len(data)), _MARKS[data]
+        before = np.maximum.accumulate(np.where(mark, -1, place))
+        behind = np.minimum.accumulate(np.where(mark, len(data), place)[::-1])[::-1]
+        stop = np.r_[0, np.cumsum(_STOPS[data])]
+        bare = np.maximum(start, before[end - 1] + 1)
+        stops = stop[end] > stop[bare]
+        start, end = np.minimum(bare, behind[start]), bare
     opens = np.ones(len(start), bool)
     opens[1:] = stops[:-1]
     opens[first[:-1][first[:-1] < len(start)]] = True
@@ -102,22 +120,30 @@ def templates(text: pa.Array) -> Templates:
     digits = np.r_[0, np.cumsum(_DIGIT[data])]
     number = digits[end] > digits[start]
     if not len(start):
-        return Templates(code, start, end, first, number, data, code, number, code)
+        return Templates(code, start, end, first, number, data, code, number, code, number, np.zeros(len(text), bool))
     head, after = data[start], data[np.minimum(start + 1, len(data) - 1)]
     upper = (head >= 65) & (head <= 90) | (head == 0xC3) & (after >= 0x80) & (after <= 0x9E)
     follows = np.where(head == 0xC3, data[np.minimum(start + 2, len(data) - 1)], after)
     shout = (follows >= 65) & (follows <= 90)
-    if not _units:
-        b, o = K.utf8(pa.array(UNITS))
-        s, e, _ = K.words(b, o)
-        _units.append(np.sort(K.word_hashes(b, s, e)))
-    at = np.searchsorted(_units[0], code)
-    unit = (at < len(_units[0])) & (_units[0][np.minimum(at, len(_units[0]) - 1)] == code)
+    unit, spelled = _among(code, "units", UNITS), _among(code, "counts", COUNTS)
+    number |= spelled
     capital = upper & ~shout & (end - start > 1)
+    row = np.repeat(np.arange(len(text)), np.diff(first))
+    joins = np.zeros(len(start), bool)
+    joins[1:] = (row[1:] == row[:-1]) & ~stops[keep][:-1] & (capital[1:] & capital[:-1] | spelled[1:] & number[:-1])
+    runs = np.bincount(row, joins, len(text)) > 0
+    if merged:
+        head = np.flatnonzero(~joins)
+        nth = (np.arange(len(start)) - np.repeat(head, np.diff(np.r_[head, len(start)]))).astype(K.U)
+        several = np.diff(np.r_[head, len(start)]) > 1
+        code = np.where(several, np.add.reduceat(K.mix(code + nth), head), code[head])
+        start, end, opens, row = start[head], end[np.r_[head[1:], len(start)] - 1], opens[head] & ~several, row[head]
+        number, unit, capital = number[head], unit[head], capital[head]
+        first = np.searchsorted(row, np.arange(len(offsets)))
     name = capital & ~opens
     literal = code
     code, named = (np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(x, _NAME, literal))) for x in (name, capital))
-    return Templates(code, start, end, first, number | unit | name, data, named, number | unit | capital, literal)
+    return Templates(code, start, end, first, number | unit | name, data, named, number | unit | capital, literal, number, runs)
 
 
 def _spans(t: Templates, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,22 +184,38 @@ class Index:
     item_ids: list
     tokens: list[list[str]]
     slots: list[list[bool]]
+    numbers: list[list[bool]]
     short: list[int]
+    #: Item that each entry is a reading of.
+    base: list[int]
 
 
 def _words_of(t: Templates, lo: int, hi: int) -> list[str]:
-    return [t.data[s:e].tobytes().decode("utf-8", "replace").lower() for s, e in zip(t.start[lo:hi], t.end[lo:hi], strict=True)]
+    return [" ".join(t.data[s:e].tobytes().decode("utf-8", "replace").lower().split()) for s, e in zip(t.start[lo:hi], t.end[lo:hi], strict=True)]
 
 
 def build_index(item_ids: list, texts: list[str]) -> Index:
-    t = templates(pa.array(texts, pa.string()))
-    h, begin, size, read = windows(t, indexed=True)
+    """Windows of all items, word by word, and of those with runs of names or numbers also with runs as one token."""
+    column = pa.array(texts, pa.string())
+    plain = templates(column)
+    again = np.flatnonzero(plain.runs)
+    base = [*range(len(texts)), *again.tolist()]
+    parts, tokens, slots, numbers, short, at = [], [], [], [], set(), 0
+    for t in (plain, templates(column.take(pa.array(again)), True)):
+        h, begin, size, read = windows(t, indexed=True)
+        item = K.row_of(t.first, begin)
+        parts.append((h, item + at, begin - t.first[item], size, read))
+        for a, b in zip(t.first[:-1], t.first[1:], strict=True):
+            words = _words_of(t, a, b)
+            known = set(words)  # a run may begin with the sentence's first word before a name that the item has elsewhere
+            tokens.append([w.partition(" ")[2] if w.partition(" ")[2] in known else w for w in words])
+            slots.append(t.any_slot[a:b].tolist())
+            numbers.append(t.number[a:b].tolist())
+        short |= {int(s) for s in size if s < WINDOW}
+        at += len(texts)
+    h, item, place, size, read = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.argsort(h, kind="stable")
-    item = K.row_of(t.first, begin)
-    place = begin - t.first[item]
-    bounds = list(zip(t.first[:-1], t.first[1:], strict=True))
-    short = sorted({int(s) for s in size if s < WINDOW})
-    return Index(h[order], item[order], place[order], size[order], read[order], item_ids, [_words_of(t, a, b) for a, b in bounds], [t.any_slot[a:b].tolist() for a, b in bounds], short)
+    return Index(h[order], item[order], place[order], size[order], read[order], [item_ids[i] for i in base], tokens, slots, numbers, sorted(short), base)
 
 
 def _parts(places: list[int], pairs: dict[int, tuple[str, str]]) -> list[list[int]]:
@@ -190,6 +232,14 @@ def _parts(places: list[int], pairs: dict[int, tuple[str, str]]) -> list[list[in
     return out
 
 
+def _bare(a: str, b: str) -> tuple[str, str]:
+    """Two names without the words that both open with: a sentence's first word may stand before a name."""
+    x, y = a.split(), b.split()
+    while len(x) > 1 and len(y) > 1 and x[0] == y[0]:
+        x, y = x[1:], y[1:]
+    return " ".join(x), " ".join(y)
+
+
 def _longest_run(places: list[int]) -> int:
     run = best = 1
     for a, b in zip(places, places[1:], strict=False):
@@ -200,13 +250,36 @@ def _longest_run(places: list[int]) -> int:
 
 def leaks(index: Index, text: pa.Array, min_share: float, min_run: int) -> list[list[tuple[int, int, int, float]]]:
     """For each text: (item number, first and last byte of the passage, share of the item)."""
-    t = templates(text)
+    plain = templates(text)
+    out = _matched(index, plain, text, min_share, min_run)
+    again = np.flatnonzero(plain.runs)
+    if len(again):
+        part = text.take(pa.array(again))
+        for row, found in zip(again.tolist(), _matched(index, templates(part, True), part, min_share, min_run), strict=True):
+            out[row] += found
+    for row, found in enumerate(out):
+        best: dict[int, tuple] = {}
+        for x in found:  # one reading of each item
+            if index.base[x[0]] not in best or x[3] > best[index.base[x[0]]][3]:
+                best[index.base[x[0]]] = x
+        out[row] = [(item, *best[item][1:]) for item in sorted(best)]
+    return out
+
+
+def _matched(index: Index, t: Templates, text: pa.Array, min_share: float, min_run: int) -> list[list[tuple[int, int, int, float]]]:
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in range(len(text))]
     h, begin, size, read = (np.concatenate(c) for c in zip(*(windows(t, n) for n in (WINDOW, *index.short)), strict=True))  # as short as the block's shortest items, too
     lo, hi = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
         return out
+    lower: dict[int, str] = {}
+
+    def word(i: int) -> str:
+        if i not in lower:
+            lower[i] = _words_of(t, i, i + 1)[0]
+        return lower[i]
+
     diagonals: dict[tuple[int, int, int], set[int]] = {}
     strict: dict[tuple[int, int, int], set[int]] = {}  # without capitals read as names
     for x in hit.tolist():
@@ -222,8 +295,8 @@ def leaks(index: Index, text: pa.Array, min_share: float, min_run: int) -> list[
     spans: dict[tuple[int, int], list[int]] = {}
     for (row, item, shift), places in sorted(diagonals.items()):
         slots = index.slots[item]
-        words = {p: (index.tokens[item][p], t.data[t.start[p + shift] : t.end[p + shift]].tobytes().decode("utf-8", "replace").lower()) for p in places}
-        pairs = {p: w for p, w in words.items() if slots[p] or t.any_slot[p + shift]}
+        asked = [p for p in places if (slots[p] or t.any_slot[p + shift]) and not (index.numbers[item][p] and t.number[p + shift])]
+        pairs = {p: _bare(index.tokens[item][p], word(int(p + shift))) for p in asked}
         parts = _parts(sorted(places), pairs)
         if len(parts) > 1 and (row, item, shift) in strict:
             again = _parts(sorted(strict[row, item, shift]), pairs)

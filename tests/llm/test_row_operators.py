@@ -1,6 +1,7 @@
 """Language ID, toxicity, HTML extraction, decontamination and chat formatting."""
 
 import hashlib
+import random
 import time
 
 import pyarrow as pa
@@ -234,6 +235,56 @@ def test_literal_and_capital_matches(item, text):
     assert bool(found[0]) == (len(item.split()) >= D.LEAST) and not found[1]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Mary Ann has 15 apples and gives 14 pears to her old friend, how many fruits are left at noon?",
+        "so Anna Maria Bell has twenty-five apples and gives two hundred pears to her old friend, how many fruits are left at noon?",
+        "-" * 200 + "Anna has 12 apples and gives 12 pears to her old friend, how many fruits are left at noon" + "?" * 200,
+    ],
+)
+def test_changed_parameters(text):
+    item = "Anna has 12 apples and gives 12 pears to her old friend, how many fruits are left at noon?"
+    for a, b in ((item, text), (text, item)):
+        found = D.leaks(D.build_index([1, 2], [prose(31, 30), a]), pa.array(["x", prose(7, 30) + ". " + b + " " + prose(8, 30), None]).fill_null(""), 0.5, 20)
+        assert [[x[0] for x in f] for f in found] == [[], [1], []]
+
+
+def _alike(a, b):
+    """Templates of two token lists, compared one by one: equal words, or both numbers, units or names."""
+    return all(x == y or {x, y} <= {"12", "7", "905"} or {x, y} <= {"Anna", "Bert", "Carl"} for x, y in zip(a, b, strict=True))
+
+
+def test_leaks_against_brute_force():
+    rng = random.Random(4)
+    words = "when does go with red apple over wide river".split()
+    slots = {"n": ["12", "7", "905"], "p": ["Anna", "Bert", "Carl"]}
+    items = ["so " + " ".join(rng.choice(words) for _ in range(19)) for _ in range(12)]
+    items = [" ".join(rng.choice(slots[rng.choice("np")]) if i % 6 == 5 else w for i, w in enumerate(x.split())) for x in items]
+    texts = []
+    for _ in range(150):
+        copy = [rng.choice(slots["n"]) if w in slots["n"] else w for w in rng.choice(items).split()]
+        if rng.random() < 0.7:  # other people, each for one
+            people = dict(zip(slots["p"], rng.sample(slots["p"], 3), strict=True))
+            copy = [people.get(w, w) for w in copy]
+        a = rng.randint(0, 14)
+        texts.append(["lead", *copy[a : rng.randint(a + 4, 20)], "tail"])
+    index = D.build_index(list(range(len(items))), items)
+    got = D.leaks(index, pa.array([" ".join(x) for x in texts]), 0.5, 20)
+    for text, found in zip(texts, got, strict=True):
+        want = set()
+        for i, item in enumerate(x.split() for x in items):
+            covered = set()
+            for shift in range(-len(item), len(text)):
+                places = {p + j for p in range(len(item) - 7) if 0 <= p + shift and p + shift + 8 <= len(text) and _alike(item[p : p + 8], text[p + shift : p + shift + 8]) for j in range(8)}
+                people = {(item[p], text[p + shift]) for p in places if item[p] in slots["p"]}
+                if len({a for a, _ in people}) == len(people):
+                    covered |= places
+            if 2 * len(covered) >= len(item):
+                want.add(i)
+        assert {x[0] for x in found} == want
+
+
 def test_benchmark_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 300)
     items = [(i, prose(200 + i, 25)) for i in range(20)]
