@@ -11,12 +11,13 @@ import importlib
 _NAMES = {
     "sievewright.operators.chunking": ("chunk", "chunk_offsets", "check_sizes"),
     "sievewright.operators.rules": ("DEFAULT_RULES", "Rule", "RuleError", "byte_view", "load_rules", "read_rules", "validate"),
+    "sievewright.operators.yara_text": ("parse_rules",),
     "sievewright.operators.detection": ("Detector", "FunctionDetector", "RuleDetector", "detect_many", "finalize", "hit_rules"),
-    "sievewright.operators.router": ("Router", "categories", "combination", "evidence_of_findings", "evidence_of_rules", "requires_layer2", "yara_score"),
+    "sievewright.operators.router": ("Router", "categories", "combination", "decision_log", "evidence_of_findings", "evidence_of_rules", "requires_layer2", "yara_score"),
     "sievewright.operators.layer1": ("Layer1", "fail_closed", "score_error_findings", "synthetic_findings"),
     "sievewright.operators.classification": ("Classifier", "ClassifierError", "DependencyError", "GenerationConfig", "PromptError", "build_classifier", "check_template", "classifier_from_env", "provider_name", "render_prompt", "retryable"),
     "sievewright.operators.verdict": ("chunk_results", "document_verdicts", "floor_verdict", "normal_verdict"),
-    "sievewright.operators.reports": ("check_expectations", "chunk_report", "corpus_summary", "document_report", "passed"),
+    "sievewright.operators.reports": ("check_expectations", "chunk_report", "classification_reports", "corpus_summary", "document_report", "finding_reports", "finding_sums", "passed"),
     "sievewright.functions.scoring": ("Scorer", "label_scores", "malicious_score", "threshold_findings"),
     "sievewright.functions.text": ("is_blank", "normalize", "normalize_ascii", "strip", "substitute"),
     "sievewright.functions.responses": ("ResponseError", "parse_response", "parse_responses"),

@@ -36,15 +36,23 @@ def hit_rules(view: Column, lower: Column, rules: Sequence[Rule] = DEFAULT_RULES
 
 
 def _strings_of(rules: Sequence[Rule]) -> Column:
+    numbered = enumerate((r, name) for r in rules for name in r.strings)
     return F.array(
         *[
-            F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(name).alias("name"), F.lit(f"(?=({r.pattern(name)}))").alias("pattern"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.reason).alias("reason"), F.lit(float(r.weight)).alias("weight"), F.lit(r.route_hint).alias("route_hint"), F.lit(r.requires_llm_validation).alias("llm"))
-            for r in rules
-            for name in r.strings
+            F.struct(F.lit(i).alias("at"), F.lit(r.rule_id).alias("rule_id"), F.lit(name).alias("name"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.reason).alias("reason"), F.lit(float(r.weight)).alias("weight"), F.lit(r.route_hint).alias("route_hint"), F.lit(r.requires_llm_validation).alias("llm"))
+            for i, (r, name) in numbered
         ]
     )
 
 
+def _by_string(rules: Sequence[Rule], of: Callable[[Column], Column]) -> Column:
+    """``of(pattern)`` of the row's string: a branch a string, so that every pattern is compiled once."""
+    at, out = F.col("sw_s.at"), F
+    for i, pattern in enumerate(f"(?=({r.pattern(name)}))" for r in rules for name in r.strings):
+        out = out.when(at == i, of(F.lit(pattern)))
+    return out
+
+
 class RuleDetector:
     """Findings of a rule pack.  A rule that hits gives a finding for each match of each of its strings."""
 
@@ -71,9 +79,9 @@ class RuleDetector:
         given = chunks if "rule_ids" in chunks.columns else self.with_hits(chunks)
         hit = given.withColumn("sw_rule", F.explode_outer("rule_ids")).where("sw_rule is not null")
         one = hit.withColumn("sw_s", F.explode_outer(F.filter(_strings_of(self.rules), lambda s: s["rule_id"] == F.col("sw_rule")))).withColumn("sw_view", byte_view(F.col("chunk_text")))
-        one = one.withColumn("sw_found", F.regexp_extract_all("sw_view", F.col("sw_s.pattern"), F.lit(1))).where(F.size("sw_found") > 0)
+        one = one.withColumn("sw_found", _by_string(self.rules, lambda p: F.regexp_extract_all("sw_view", p, F.lit(1)))).where(F.size("sw_found") > 0)
         # an empty match at every start, marked: the lengths between the marks are the offsets
-        one = one.withColumn("sw_parts", F.split(F.regexp_replace(F.col("sw_view"), F.col("sw_s.pattern"), F.lit(_MARK)), _MARK, -1))
+        one = one.withColumn("sw_parts", F.split(_by_string(self.rules, lambda p: F.regexp_replace(F.col("sw_view"), p, F.lit(_MARK))), _MARK, -1))
         before = F.expr("transform(sequence(1, size(sw_found)), i -> aggregate(slice(sw_parts, 1, i), 0, (n, x) -> n + length(x)))")
         at = one.withColumn("sw_m", F.explode(F.arrays_zip(before.alias("at"), F.col("sw_found").alias("bytes")))).drop("sw_parts", "sw_found", "sw_view")
         # bytes back to characters

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievewright.functions.scoring import Scorer
 from sievewright.functions.text import normalize
 from sievewright.operators.detection import FINDING_COLUMNS, RuleDetector
-from sievewright.operators.router import Router, evidence_of_rules, requires_layer2
+from sievewright.operators.router import Router, decision_log, evidence_of_rules, requires_layer2
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,10 @@ class Layer1:
         out = out.withColumn("sw_evidence", evidence_of_rules(F.col("rule_ids"), self.detector.rules))
         return fail_closed(self.router.route(out, "sw_evidence")).withColumn("routed", requires_layer2(F.col("decision"))).drop("sw_evidence", "sw_score")
 
+    def log(self, decided: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:
+        """The decision log of decided chunks."""
+        return decision_log(decided.withColumn("sw_evidence", evidence_of_rules(F.col("rule_ids"), self.detector.rules)), self.router, "sw_evidence", keys)
+
     def findings(self, decided: DataFrame) -> DataFrame:
         """All findings of decided chunks: the rules', score errors of routed chunks, and synthetic ones.
 

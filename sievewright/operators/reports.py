@@ -16,8 +16,29 @@ def chunk_report(results: DataFrame, findings: DataFrame, keys: tuple[str, ...]
     )
 
 
-def document_report(results: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts by decision and verdict, largest scores, chunks that layer 2 didn't visit, and whether to forward."""
+def finding_reports(findings: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index", "source")) -> DataFrame:
+    """Findings as they are reported: all fields, and the detector out of the metadata."""
+    return findings.select(*keys, "span", "category", "severity", "reason", "start_char", "end_char", "rule_id", F.coalesce("requires_llm_validation", F.lit(False)).alias("requires_llm_validation"), "score", F.try_element_at("metadata", F.lit("detector")).alias("detector"), "metadata")
+
+
+def classification_reports(outcomes: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:
+    """Answers of layer 2 as they are reported: the raw response by its length only; failed chunks have none."""
+    c = F.col("outcome.classification")
+    return outcomes.where(c.isNotNull()).select(*keys, *[c[x].alias(x) for x in ("verdict", "confidence", "reasons", "findings")], F.coalesce(F.length(c["raw_response"]), F.lit(0)).cast("long").alias("raw_response_chars"))
+
+
+def finding_sums(results: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Findings of the rules and of the score for each document; zeros where it has none."""
+    every = results.select(*keys).distinct()
+    counts = findings.groupBy(*keys).agg(F.count_if(F.try_element_at("metadata", F.lit("detector")) == "YaraDetector").alias("n_rule_findings"), F.count_if(F.col("rule_id") == "prompt_guard").alias("n_score_findings"))
+    return every.join(counts, list(keys), "left").select(*keys, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_rule_findings", "n_score_findings")])
+
+
+def document_report(results: DataFrame, keys: tuple[str, ...] = ("doc_id",), findings: DataFrame | None = None) -> DataFrame:
+    """Counts by decision and verdict, largest scores, chunks that layer 2 didn't visit, and whether to forward.
+
+    With ``findings``, their sums (n_rule_findings, n_score_findings) as well.
+    """
     count = lambda c, v: F.count_if(F.col(c) == v).alias(f"n_{c.split('_')[0]}_{v}")
     out = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_chunks"),
@@ -30,7 +51,8 @@ def document_report(results: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
         F.array_sort(F.collect_list(F.when(~F.col("routed"), F.col("chunk_index")))).alias("not_visited"),
     )
     verdict = F.when(F.col("n_final_unsafe") > 0, "unsafe").when(F.col("n_final_suspicious") > 0, "suspicious").otherwise("safe")
-    return out.withColumn("verdict", verdict).withColumn("safe_to_forward", (verdict == "safe") & (F.col("n_final_safe") == F.col("n_chunks")))
+    out = out.withColumn("verdict", verdict).withColumn("safe_to_forward", (verdict == "safe") & (F.col("n_final_safe") == F.col("n_chunks")))
+    return out if findings is None else out.join(finding_sums(results, findings, keys), list(keys), "left")
 
 
 def check_expectations(report: DataFrame, manifest: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

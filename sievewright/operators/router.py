@@ -71,6 +71,22 @@ class Router:
         return out.drop(pg).withColumnRenamed("sw_pg", pg)
 
 
+def decision_log(routed: DataFrame, router: Router, evidence: str = "evidence", keys: Sequence[str] = ("doc_id", "chunk_index")) -> DataFrame:
+    """What stands behind every decision, as one row for a log: rounded scores, categories, hints and signals.
+
+    ``level`` is that of a log line: debug for safe chunks, info for others.
+    """
+    e, y, p = F.col(evidence), F.col("yara_score"), F.col("pg_score")
+    signal = lambda weight, value, least, name: (F.lit(weight > 0) & (value >= least)).alias(name)
+    hinted = lambda hint: F.exists(e, lambda x: x["route_hint"] == hint).alias(f"has_{hint}_hint")
+    return routed.select(
+        *keys, "decision", "route_reason", F.round("risk_score", 2).alias("risk_score"), F.round(p, 4).alias("pg_score"), F.round(y, 2).alias("yara_score"),
+        F.size(e).cast("long").alias("n_evidence"), categories(e).alias("categories"), hinted("hold"), hinted("review"),
+        signal(router.yara_weight, y, router.yara_hold, "yara_strong"), signal(router.yara_weight, y, router.yara_review, "yara_moderate"),
+        signal(router.pg_weight, p, router.pg_hold, "pg_strong"), signal(router.pg_weight, p, router.pg_review, "pg_moderate"), F.when(F.col("decision") == "safe", "debug").otherwise("info").alias("level"),
+    )
+
+
 def evidence_of_rules(rule_ids: Column, rules: Sequence[Rule]) -> Column:
     """Evidence of the rules that hit, one element a rule (repeats don't change a score)."""
     every = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(float(r.weight)).alias("weight"), F.lit(r.route_hint).alias("route_hint")) for r in rules])

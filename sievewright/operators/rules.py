@@ -316,12 +316,15 @@ def load_rules(source: str, origin: str = "rule pack") -> tuple[Rule, ...]:
 
 
 def read_rules(path: str) -> tuple[Rule, ...]:
-    """Rules from a JSON file on the driver."""
+    """Rules from a file on the driver: JSON where it begins with a bracket, else YARA text."""
+    from sievewright.operators.yara_text import parse_rules
+
     try:
         with open(path, encoding="utf-8") as f:
-            return load_rules(f.read(), path)
-    except OSError as e:
+            source = f.read()
+    except (OSError, UnicodeDecodeError) as e:
         raise RuleError(f"{path}: {e}") from e
+    return (load_rules if source.lstrip()[:1] in ("[", "{") else parse_rules)(source, path)
 
 
 def byte_view(text: Column) -> Column:

@@ -19,6 +19,7 @@ from sievewright.operators.detection import FunctionDetector, RuleDetector, dete
 from sievewright.operators.layer1 import Layer1
 from sievewright.operators.router import EVIDENCE, Router
 from sievewright.operators.rules import Rule
+from sievewright.operators.yara_text import parse_rules
 from sievewright.plans import oracle
 from sievewright.plans.pipeline import ScreeningPipeline
 from sievewright.plans.planted import SCORE, SCORE_FAILS, planted_documents
@@ -56,11 +57,17 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layer1().decide(_chunks(spark, sf_dir))
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = _decided(spark, sf_dir)
+def _analyzed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decided chunks (written once), outcomes and results."""
+    pipeline = ScreeningPipeline(_layer1())
+    decided = pipeline.decided_once(_chunks(spark, sf_dir))
     routed = decided.where("routed").withColumn("metadata", F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"), F.lit("chunk_index"), F.col("chunk_index").cast("string")))
-    outcomes = ScreeningPipeline()._written(_stand_in_classifier().classify(routed).select("doc_id", "chunk_index", "outcome"))
-    return verdict.chunk_results(decided.drop("chunk_text"), outcomes)
+    outcomes = pipeline._written(_stand_in_classifier().classify(routed).select("doc_id", "chunk_index", "outcome"), "outcomes")
+    return decided, outcomes, verdict.chunk_results(decided.drop("chunk_text"), outcomes)
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analyzed(spark, sf_dir)[2]
 
 
 def chunk_offsets(spark, sf_dir):
@@ -102,6 +109,12 @@ def custom_rule_findings(spark, sf_dir):
     return found.groupBy("doc_id", "chunk_index", "rule_id").agg(F.count(F.lit(1)).alias("n_findings"), F.sum(F.col("start_char").cast("long")).alias("sum_start"), F.sum(F.col("end_char").cast("long")).alias("sum_end"))
 
 
+def yara_rule_findings(spark, sf_dir):
+    """Findings of rules that are read from YARA text."""
+    found = RuleDetector(parse_rules(oracle.YARA_RULES)).apply(_chunks(spark, sf_dir))
+    return found.groupBy("doc_id", "chunk_index", "rule_id").agg(F.count(F.lit(1)).alias("n_findings"), F.sum(F.col("start_char").cast("long")).alias("sum_start"), F.sum(F.col("end_char").cast("long")).alias("sum_end"))
+
+
 def _split(text: str):
     if len(text) % 7 == 0:
         raise RuntimeError("seven")
@@ -212,8 +225,8 @@ def document_verdicts(spark, sf_dir):
 
 
 def chunk_report(spark, sf_dir):
-    results = _results(spark, sf_dir)
-    found = _layer1().findings(_decided(spark, sf_dir))
+    decided, _, results = _analyzed(spark, sf_dir)
+    found = _layer1().findings(decided)
     return reports.chunk_report(results, found).select("doc_id", "chunk_index", "decision", "risk_score", "pg_score", "yara_score", "final_verdict", "n_rule_findings", "n_score_findings")
 
 
@@ -222,6 +235,27 @@ def document_report(spark, sf_dir):
     return out.withColumn("not_visited", F.array_join(F.transform("not_visited", lambda i: i.cast("string")), ","))
 
 
+def decision_log(spark, sf_dir):
+    log = _layer1().log(_decided(spark, sf_dir)).drop("route_reason", "level")
+    return log.withColumn("categories", F.array_join("categories", ","))
+
+
+def finding_reports(spark, sf_dir):
+    decided = _analyzed(spark, sf_dir)[0]
+    out = reports.finding_reports(_layer1().findings(decided))
+    return out.select("doc_id", "chunk_index", F.coalesce("detector", F.lit("")).alias("detector"), "rule_id", "start_char", "end_char", F.md5("span").alias("span_md5"), F.col("requires_llm_validation").alias("needs_validation"))
+
+
+def classification_reports(spark, sf_dir):
+    out = reports.classification_reports(_analyzed(spark, sf_dir)[1])
+    return out.select("doc_id", "chunk_index", "verdict", "confidence", F.array_join("reasons", "|").alias("reasons"), F.size("findings").cast("long").alias("n_findings"), "raw_response_chars")
+
+
+def document_finding_sums(spark, sf_dir):
+    decided, _, results = _analyzed(spark, sf_dir)
+    return reports.finding_sums(results, _layer1().findings(decided))
+
+
 def _checked(spark, sf_dir):
     report = reports.document_report(_results(spark, sf_dir))
     manifest = planted_documents(spark, sf_dir).where("doc_id % 4 < 2").select("doc_id", F.expr("CASE WHEN doc_id % 16 >= 12 THEN 'safe' ELSE 'suspicious' END").alias("expected_verdict"), F.expr("CASE WHEN doc_id % 8 < 4 THEN doc_id % 16 >= 12 END").alias("expected_safe_to_forward"))
@@ -258,9 +292,9 @@ def pages_screen(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_offsets, chunk_stats_by_lang, rule_hits, rule_hits_by_lang, rule_findings, chunk_findings, custom_rule_findings, detector_union, normalized_ascii, normalized_all, score_labels,
+        chunk_offsets, chunk_stats_by_lang, rule_hits, rule_hits_by_lang, rule_findings, chunk_findings, custom_rule_findings, yara_rule_findings, detector_union, normalized_ascii, normalized_all, score_labels,
         score_findings, decisions, decision_counts, rule_only_decisions, combination_decisions, failed_scores, synthetic_findings, rendered_prompts, parsed_responses, layer2_outcomes, floor_matrix,
-        chunk_verdicts, document_verdicts, chunk_report, document_report, expectation_checks, corpus_summary, routed_fraction_by_source, conversations_screen, pages_screen,
+        chunk_verdicts, document_verdicts, chunk_report, document_report, decision_log, finding_reports, classification_reports, document_finding_sums, expectation_checks, corpus_summary, routed_fraction_by_source, conversations_screen, pages_screen,
     )
 }
 
