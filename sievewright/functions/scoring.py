@@ -40,6 +40,24 @@ def malicious_score(raw: object) -> float:
     return max((float(s) for s in scores if not math.isnan(s)), default=0.0)
 
 
+#: Parts of a loading error's text, and what helps.
+LOAD_HINTS = (
+    (("401", "unauthorized"), "The model is gated: set HF_TOKEN to a token."),
+    (("403", "forbidden"), "The token in HF_TOKEN is missing or may not read the model."),
+    (("connection", "network"), "The model's host can't be reached from here."),
+    (("not found", "does not exist"), "There is no model of that name any more."),
+)
+
+
+class ScorerLoadError(RuntimeError):
+    """A model that can't be loaded, with what may help."""
+
+
+def load_hint(error: BaseException) -> str:
+    text = str(error).lower()
+    return next((hint for signs, hint in LOAD_HINTS if any(x in text for x in signs)), "Set HF_TOKEN in the environment.")
+
+
 @dataclass(frozen=True)
 class Scorer:
     """A text classifier.  ``build`` makes the callable once in each Python worker.
@@ -56,14 +74,26 @@ class Scorer:
         if not 0 <= self.uncertain <= self.malicious <= 1:
             raise ValueError("thresholds must satisfy 0 <= uncertain <= malicious <= 1")
 
+    def load(self) -> Callable[[str], object]:
+        """The callable, built now; ScorerLoadError with a hint if that fails."""
+        try:
+            return self.build()
+        except Exception as e:
+            raise ScorerLoadError(f"{type(e).__name__}: {e} ({load_hint(e)})") from e
+
+    def eager(self) -> Scorer:
+        """This scorer, after one trial build on the driver: a model that can't be had fails before any job."""
+        self.load()
+        return self
+
     def score(self, text: Column) -> Column:
         """struct<score, error> of every text; blank texts score 0."""
-        build, kept = self.build, {}
+        load, kept = self.load, {}
 
         @F.arrow_udf("struct<score:double,error:string>")
         def run(text: pa.Array) -> pa.Array:
             if "model" not in kept:
-                kept["model"] = build()
+                kept["model"] = load()
             scores, errors = [], []
             for x in text.to_pylist():
                 try:

@@ -8,6 +8,8 @@ the call, never by a Spark task's retry, which would call it again for every row
 from __future__ import annotations
 
 import os
+import queue
+import threading
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -100,6 +102,37 @@ def single_prompt(messages: Sequence[tuple[str, str]]) -> str:
 Complete = Callable[[Sequence[tuple[str, str]]], str]
 
 
+#: Fixed value: how a missed deadline is reported.
+TIMED_OUT = "TimeoutError"
+
+
+class DeadlineError(TimeoutError):
+    """No answer within the time that a chunk has."""
+
+
+def within(seconds: float, call: Callable, *args):
+    """What ``call`` returns or raises; DeadlineError if it does neither in time.
+
+    A call that hangs goes on in a daemon thread, which ends with the worker at the latest.
+    """
+    answer: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            answer.put((call(*args), None))
+        except BaseException as e:  # handed to the caller's thread
+            answer.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        value, error = answer.get(timeout=max(seconds, 0.0))
+    except queue.Empty:
+        raise DeadlineError(f"no answer within {max(seconds, 0.0):g} s") from None
+    if error is not None:
+        raise error
+    return value
+
+
 @dataclass(frozen=True)
 class Classifier:
     """``build`` makes, once in a worker, a function of (role, content) messages to response text."""
@@ -112,23 +145,30 @@ class Classifier:
     generation: GenerationConfig = field(default_factory=GenerationConfig)
 
     def outcome(self, prompt: str | None, complete: Complete, sleep: Callable[[float], None] = time.sleep) -> dict:
-        """Classification or error of one prompt, after retries; the deadline is each chunk's own."""
+        """Classification or error of one prompt, after retries.
+
+        The deadline is each chunk's own and covers all its tries and waits; it ends a call that hangs.
+        """
         if prompt is None:
             return {"classification": None, "error": "the chunk is blank", "error_type": "ValueError"}
-        began, error = time.monotonic(), None
+        end, error = time.monotonic() + self.deadline, None
         for wait in (0.0, *self.backoff):
+            if time.monotonic() + wait > end:
+                error = DeadlineError(f"no answer within {self.deadline:g} s" + (f"; last error: {error}" if error else ""))
+                break
             if wait:
                 sleep(wait)
-            if time.monotonic() - began > self.deadline:
-                error = TimeoutError(f"no answer within {self.deadline:g} s")
-                break
             try:
-                return {"classification": parse_response(complete([("system", self.system_prompt), ("user", prompt)])), "error": None, "error_type": None}
+                answer = within(end - time.monotonic(), complete, [("system", self.system_prompt), ("user", prompt)])
+                return {"classification": parse_response(answer), "error": None, "error_type": None}
+            except DeadlineError:
+                error = DeadlineError(f"no answer within {self.deadline:g} s")
+                break
             except Exception as e:
                 error = e
                 if not retryable(e):
                     break
-        return {"classification": None, "error": str(error), "error_type": type(error).__name__}
+        return {"classification": None, "error": str(error), "error_type": TIMED_OUT if isinstance(error, DeadlineError) else type(error).__name__}
 
     def classify(self, chunks: DataFrame) -> DataFrame:
         """``chunks`` with an outcome struct each (fail-soft): classification or error and error_type."""
@@ -136,9 +176,14 @@ class Classifier:
 
         @F.arrow_udf(OUTCOME)
         def run(prompt: pa.Array) -> pa.Array:
-            if "complete" not in kept:
-                kept["complete"] = me.build()
-            return pa.array([me.outcome(x, kept["complete"]) for x in prompt.to_pylist()], OUTCOME_ARROW)
+            out = []
+            for x in prompt.to_pylist():
+                if "complete" not in kept:
+                    kept["complete"] = me.build()
+                out.append(me.outcome(x, kept["complete"]))
+                if out[-1]["error_type"] == TIMED_OUT:
+                    del kept["complete"]  # its client may still be held by the call that hangs
+            return pa.array(out, OUTCOME_ARROW)
 
         return chunks.withColumn("outcome", run.asNondeterministic()(render_prompt(F.col("chunk_text"), chunk_metadata(chunks), self.prompt)))
 

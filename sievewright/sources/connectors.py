@@ -27,6 +27,19 @@ def require_text(provider: str, text: object) -> str:
     return text.strip()
 
 
+#: The models that are asked where none is named.
+DEFAULT_MODELS = {"openai": "gpt-4o-mini", "anthropic": "claude-3-5-haiku-latest", "gemini": "gemini-2.0-flash"}
+
+
+def output_text(response: object) -> str | None:
+    """A response's joined text, or else the text parts of its output items one after another."""
+    whole = getattr(response, "output_text", None)
+    if isinstance(whole, str) and whole.strip():
+        return whole
+    parts = (getattr(part, "text", None) for item in getattr(response, "output", None) or () for part in getattr(item, "content", None) or ())
+    return "".join(x for x in parts if isinstance(x, str) and x.strip())
+
+
 def _client(module: str):
     import importlib
 
@@ -40,13 +53,13 @@ def _client(module: str):
 
 def _openai(model, api_key, generation) -> Callable[[Messages], str]:
     client = _client("openai").OpenAI(**({"api_key": api_key} if api_key else {}))
-    model = model or "gpt-4.1-mini"
+    model = model or DEFAULT_MODELS["openai"]
 
     def complete(messages: Messages) -> str:
         turns = [{"role": r, "content": c} for r, c in messages]
         if hasattr(client, "responses"):
             got = client.responses.create(model=model, input=turns, temperature=generation.temperature, max_output_tokens=generation.max_tokens)
-            return require_text("openai", getattr(got, "output_text", None))
+            return require_text("openai", output_text(got))
         got = client.chat.completions.create(model=model, messages=turns, temperature=generation.temperature, max_tokens=generation.max_tokens)
         return require_text("openai", got.choices[0].message.content if got.choices else None)
 
@@ -59,9 +72,7 @@ def _anthropic(model, api_key, generation) -> Callable[[Messages], str]:
     def complete(messages: Messages) -> str:
         system = "\n\n".join(c for r, c in messages if r == "system")
         turns = [{"role": r, "content": c} for r, c in messages if r != "system"]
-        if not model:
-            raise ValueError("this provider needs a model name")
-        got = client.messages.create(model=model, system=system, messages=turns, temperature=generation.temperature, max_tokens=generation.max_tokens)
+        got = client.messages.create(model=model or DEFAULT_MODELS["anthropic"], system=system, messages=turns, temperature=generation.temperature, max_tokens=generation.max_tokens)
         return require_text("anthropic", "".join(getattr(x, "text", "") or "" for x in got.content))
 
     return complete
@@ -73,7 +84,7 @@ def _gemini(model, api_key, generation) -> Callable[[Messages], str]:
     def complete(messages: Messages) -> str:
         from sievewright.operators.classification import single_prompt
 
-        got = client.models.generate_content(model=model or "gemini-2.5-flash", contents=single_prompt(messages), config={"temperature": generation.temperature, "max_output_tokens": generation.max_tokens})
+        got = client.models.generate_content(model=model or DEFAULT_MODELS["gemini"], contents=single_prompt(messages), config={"temperature": generation.temperature, "max_output_tokens": generation.max_tokens})
         return require_text("gemini", getattr(got, "text", None))
 
     return complete

@@ -1,16 +1,20 @@
 """Row functions without and with Spark: normalisation, JSON repair, prompts, chunk offsets, rules."""
 
 import json
+import threading
+import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import responses as R
-from sievewright.functions.scoring import Scorer, flatten_outputs, malicious_score
+from sievewright.functions.scoring import Scorer, ScorerLoadError, flatten_outputs, load_hint, malicious_score
 from sievewright.functions.text import is_blank, normalize, substitute
 from sievewright.operators import classification as K
 from sievewright.operators.chunking import check_sizes, chunk, offsets
 from sievewright.operators.rules import DEFAULT_RULES, Rule, RuleError, as_bool, as_float, load_rules, read_rules, required_literals
+from sievewright.sources.connectors import DEFAULT_MODELS, output_text
 
 
 def one(spark, column, **values):
@@ -147,3 +151,67 @@ def test_scores(spark):
 
     rows = spark.createDataFrame([("abc",), ("boom",), (" ",), (None,)], "t string").select(Scorer(build).score(F.col("t")).alias("s")).collect()
     assert [(round(r.s.score, 3), r.s.error) for r in rows] == [(0.3, None), (0.0, "RuntimeError: boom"), (0.0, None), (0.0, None)]
+
+
+def test_a_call_that_hangs_is_ended():
+    gone = threading.Event()
+
+    def hangs(messages):
+        gone.wait(30)
+        return "{}"
+
+    began = time.monotonic()
+    out = K.Classifier(lambda: hangs, backoff=(), deadline=0.2).outcome("x", hangs)
+    gone.set()
+    assert out["error_type"] == "TimeoutError" and "0.2 s" in out["error"] and time.monotonic() - began < 10
+    waits = []
+
+    def down(messages):
+        raise ConnectionError("down")
+
+    out = K.Classifier(lambda: down, backoff=(1.0, 500.0), deadline=120.0).outcome("x", down, waits.append)
+    assert waits == [1.0] and out["error_type"] == "TimeoutError" and "down" in out["error"]
+    with pytest.raises(KeyError):
+        K.within(5.0, {}.__getitem__, "a")
+
+
+def test_one_hanging_chunk_leaves_the_others(spark):
+    def build():
+        def complete(messages):
+            if "hang" in messages[1][1]:
+                time.sleep(60)
+            return '{"verdict": "unsafe"}'
+
+        return complete
+
+    rows = spark.createDataFrame([(1, "a", 0, 0, 4, "hang"), (2, "b", 0, 0, 4, "fine")], "doc_id long, source string, chunk_index int, start_char int, end_char int, chunk_text string").coalesce(1)
+    got = {r.doc_id: r.outcome for r in K.Classifier(build, backoff=(), deadline=1.0).classify(rows).collect()}
+    assert got[1].error_type == "TimeoutError" and got[2].classification.verdict == "unsafe"
+
+
+def test_output_text():
+    part = lambda text: SimpleNamespace(text=text)
+    nested = SimpleNamespace(output_text=" ", output=[SimpleNamespace(content=[part("{"), part(None), part(" ")]), SimpleNamespace(content=None), SimpleNamespace(content=[part("}")])])
+    assert output_text(nested) == "{}" and output_text(SimpleNamespace(output_text="x")) == "x" and output_text(SimpleNamespace()) == ""
+    assert set(DEFAULT_MODELS) == set(K.KEY_NAMES)
+
+
+def test_load_hints():
+    def broken():
+        raise OSError("403 Forbidden")
+
+    with pytest.raises(ScorerLoadError, match="HF_TOKEN is missing or may not"):
+        Scorer(broken).eager()
+    assert Scorer(lambda: len).eager().load() is len
+    assert len({load_hint(Exception(x)) for x in ("401", "403", "network", "does not exist", "other")}) == 5
+
+
+def test_environment_of_the_command_line(monkeypatch, tmp_path):
+    from sievewright.cli import environment, parser
+
+    (tmp_path / "env").write_text("SW_A=file\nSW_B=file\n")
+    monkeypatch.setenv("SW_A", "process")
+    given = ["--docs-dir", "d", "--report-path", "r"]
+    for more, wanted in (([], ("process", None)), (["--env-file", str(tmp_path / "env")], ("process", "file")), (["--env-file", str(tmp_path / "env"), "--override-env"], ("file", "file"))):
+        got = environment(parser().parse_args(given + more))
+        assert (got["SW_A"], got.get("SW_B")) == wanted
