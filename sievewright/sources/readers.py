@@ -194,11 +194,16 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def discover(spark: SparkSession, folder: str, registry: Registry | None = None) -> DataFrame:
-    """A corpus: the manifest's files, missing ones as error rows, or all files of the folder."""
-    documents = read_documents(spark, folder, registry).withColumn("filename", F.element_at(F.split("source", "/"), -1))
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{MANIFEST}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    """A corpus: the manifest's files, missing ones as error rows, or all files of the folder.
+
+    ``filename`` is the path under the folder, so files of one name in two folders are two documents.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    above = system.makeQualified(path).toString().rstrip("/") + "/"
+    under = F.when(F.col("source").startswith(above), F.substring("source", len(above) + 1, 1 << 30)).otherwise(F.element_at(F.split("source", "/"), -1))
+    documents = read_documents(spark, folder, registry).withColumn("filename", under)
+    if not system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, MANIFEST)):
         return documents.withColumns({"expected_verdict": F.lit(None).cast("string"), "expected_safe_to_forward": F.lit(None).cast("boolean")})
     listed = read_manifest(spark, folder)
     out = listed.join(documents, "filename", "left")

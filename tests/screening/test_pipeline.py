@@ -148,6 +148,15 @@ def test_sources(spark, tmp_path):
     assert load_env_file(str(tmp_path / "env")) == {"A": "1", "B": "2"}
 
 
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.txt").write_text(f"in {folder}")
+    assert {r.filename: r.text for r in S.discover(spark, str(tmp_path)).collect()} == {"x/a.txt": "in x", "y/a.txt": "in y"}
+    (tmp_path / S.MANIFEST).write_text(json.dumps({"files": [{"filename": "y/a.txt"}, {"filename": "a.txt"}]}))
+    assert {r.filename: r.text for r in S.discover(spark, str(tmp_path) + "/").collect()} == {"y/a.txt": "in y", "a.txt": None}
+
+
 def test_cli(spark, tmp_path, capsys):
     from sievewright.cli import main
 
