@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.llm import fingerprints as P
+from sievewright.llm import linkage
 from sievewright.llm import line_dedup as N
 from sievewright.llm import mixing as M
 from tests.llm.data import documents, odd_rows, prose
@@ -177,6 +178,36 @@ def test_recall_of_edited_lines(words):
     assert all(5 * N.edit_distance(i, j) <= words for i, j in zip(lines, edited, strict=True)) and found.mean() >= 0.9
 
 
+def test_packed_pairs_are_those_of_rows(spark):
+    rng = np.random.default_rng(3)
+    node, member = rng.integers(-40, 40, 3000), rng.permutation(3000)
+    sketch = np.hstack([rng.integers(0, 2, (3000, 16)), np.full((3000, 1), 9), np.zeros((3000, 3), int)]).astype(np.uint8)
+    rows = spark.createDataFrame([(int(n), int(m), s.tobytes()) for n, m, s in zip(node, member, sketch, strict=True)], "node long, member long, sketch binary")
+    near = N._plausible(0.8)
+
+    def filed(batches):
+        for batch in batches:
+            yield batch.column("node").to_numpy(), batch.column("member").to_numpy(), linkage.matrix(batch.column("sketch"))
+
+    for small in (16, 64):
+        got = linkage.packed_pairs(rows, filed, 3000, near, small).collect()
+        assert sorted((r.a, r.b or -1, r.node or -99) for r in got) == sorted((r.a, r.b or -1, r.node or -99) for r in linkage.plausible_pairs(rows, near, small).collect())
+        assert all((r.sketch is None) == (r.b is not None) and (r.b is not None or r.sketch == sketch[np.flatnonzero(member == r.a)[0]].tobytes()) for r in got)
+
+
+@pytest.mark.parametrize("later", [[], [(30, 61)], [(5, 900), (61, 901), (901, 30)]])
+def test_components_of_paths_and_links_that_come_later(spark, later):
+    edges = [(i, i + 1) for i in range(50)] + [(60, i) for i in range(61, 80)] + [(-7, 100), (-7, 200)]
+    labels = linkage.components(spark.createDataFrame(edges, "a long, b long"))
+    if later:
+        labels = linkage._merged(labels, linkage.written(spark.createDataFrame(later, "a long, b long"), "links"))
+    head = {x: x for e in edges + later for x in e}
+    for _ in range(100):
+        for a, b in edges + later:
+            head[a] = head[b] = min(head[a], head[b])
+    assert {r.member: r.component for r in labels.collect()} == head and labels.count() == len(head)
+
+
 def test_lines_keep_columns_of_any_name(spark):
     rows = [(1, "a b c d e f\nx 1", 5, "m", 7), (2, "a b c d e f\nx 2\nx  1!", 6, "n", 8), (None, None, 9, None, 10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sw_k long, N_Removed string, sw_gone long")
