@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -178,6 +179,29 @@ def test_recall_of_edited_lines(words):
     assert all(5 * N.edit_distance(i, j) <= words for i, j in zip(lines, edited, strict=True)) and found.mean() >= 0.9
 
 
+def lines_of_words(spark, lines, parts):
+    """Rows (member, words) of lines, in so many partitions."""
+    got = N.lines_of(["\n".join(lines)])
+    words = N._words(N._hashed(got), got.first, np.arange(len(lines)), np.ones(len(lines), bool)).to_pylist()
+    return spark.createDataFrame(list(enumerate(words)), "member long, words binary").repartition(parts, "member")
+
+
+def test_common_blocks_are_counted_in_all_lines(spark):
+    lines = [f"of the {prose(9000 + i, 6, 400)}" for i in range(N.COMMON)] + [f"by any {prose(9500 + i, 6, 400)}" for i in range(N.COMMON - 1)]
+    got = N.lines_of(["\n".join(lines)])
+    hashes = N.K.mix(N._hashed(got) >> N.K.U(32))
+    counts = Counter()
+    for a, b in zip(got.first[:-1], got.first[1:], strict=True):
+        for n in (1, 2):
+            counts.update((N._grams(hashes, np.arange(a, b - n + 1), n) & N.K.U(N.SLOTS - 1)).tolist())
+    expected = {slot for slot, n in counts.items() if n >= N.COMMON}
+    of, the, by = (int(N._grams(hashes, np.array([i]), n)[0]) % N.SLOTS for i, n in ((0, 1), (0, 2), (got.first[N.COMMON], 2)))
+    assert of in expected and the in expected and by not in expected
+    for parts in (1, 5):
+        table = np.unpackbits(N.common_blocks(lines_of_words(spark, lines, parts), len(hashes)))
+        assert set(np.flatnonzero(table).tolist()) == expected and len(table) == N.SLOTS
+
+
 def test_packed_pairs_are_those_of_rows(spark):
     rng = np.random.default_rng(3)
     node, member = rng.integers(-40, 40, 3000), rng.permutation(3000)
