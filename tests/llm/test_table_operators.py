@@ -202,6 +202,18 @@ def test_common_blocks_are_counted_in_all_lines(spark):
         assert set(np.flatnonzero(table).tolist()) == expected and len(table) == N.SLOTS
 
 
+def test_pipeline_counts_blocks_in_every_document(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen, count = [], N.common_blocks
+    monkeypatch.setattr(N, "common_blocks", lambda words, n: seen.append((sorted(len(r.words) // 4 for r in words.select("words").collect()), n)) or count(words, n))
+    rows = [(i, "\n".join([prose(300 + i, 5 + i % 7), prose(300 + i % 9, 30), "too short"])) for i in range(40)]
+    corpus_pipeline.dedup_lines(spark, documents(spark, rows), "").collect()
+    distinct = {N.normal(x) for _, text in rows for x in text.split("\n") if len(x.split()) >= 5}
+    sizes = sorted(len(x.split()) for x in distinct)
+    assert seen == [(sizes, sum(sizes))]
+
+
 def test_packed_pairs_are_those_of_rows(spark):
     rng = np.random.default_rng(3)
     node, member = rng.integers(-40, 40, 3000), rng.permutation(3000)
