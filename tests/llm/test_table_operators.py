@@ -231,6 +231,56 @@ def test_packed_pairs_are_those_of_rows(spark):
         assert all((r.sketch is None) == (r.b is not None) and (r.b is not None or r.sketch == sketch[np.flatnonzero(member == r.a)[0]].tobytes()) for r in got)
 
 
+def test_large_nodes_are_known_without_a_sample(spark):
+    rng = np.random.default_rng(4)
+    n = linkage.MIDDLE + 500
+    node = np.r_[np.full(n, 7), rng.integers(-40, 40, 2000) * 2]  # node 7 is large where half of it is packed, and has a few rows elsewhere
+    member = rng.permutation(len(node))
+    sketch = np.hstack([rng.integers(0, 2, (len(node), 16)), np.full((len(node), 1), 9), np.zeros((len(node), 3), int)]).astype(np.uint8)
+    rows = [(int(a), int(b), s.tobytes()) for a, b, s in zip(node, member, sketch, strict=True)]
+    near = N._plausible(0.8)
+
+    def filed(batches):
+        for batch in batches:
+            yield batch.column("node").to_numpy(), batch.column("member").to_numpy(), linkage.matrix(batch.column("sketch"))
+
+    def table(some):
+        return spark.createDataFrame(some, "node long, member long, sketch binary").coalesce(1)
+
+    rest = rows[n - 200 : n] + rows[n + 100 :]
+    got = linkage.packed_pairs(table(rows[: n - 200] + rows[n : n + 100]).union(table(rest)), filed, len(rows), near).collect()
+    assert sorted((r.a, r.b or -1, r.node or -99) for r in got) == sorted((r.a, r.b or -1, r.node or -99) for r in linkage.plausible_pairs(table(rows), near).collect())
+    batch = linkage._row_batch(node[: n - 200], member[: n - 200], sketch[: n - 200])
+    packed = [r for b in linkage._packed(filed, 8)(iter([batch])) for r in b.to_pylist()]
+    assert {r["bucket"] for r in packed if r["kind"] == linkage._SPREAD} == set(range(8)) and sum(r["n"] for r in packed if r["kind"] == linkage._SPREAD) == n - 200
+    assert [(r["bucket"], np.frombuffer(r["rows"], np.int64).tolist()) for r in packed if r["kind"] != linkage._SPREAD] == [(7, [7])]
+
+
+def test_words_of_lines_that_several_tasks_bring_are_taken_once(spark):
+    members = N.K.signed(N.K.mix(np.arange(1, 3001, dtype=np.uint64))).tolist()
+    words = {m: np.array([i, i + 1], np.uint32).tobytes() for i, m in enumerate(members)}
+    tasks = [members[:2000], members[1500:2500], members[1900:] + members[:3]]
+    rows = [spark.createDataFrame([(m, words[m]) for m in some] + [(m, None) for m in some[:50]], "member long, words binary").coalesce(1) for some in tasks]
+    lines = linkage.written(rows[0].union(rows[1]).union(rows[2]), "lines")
+    distinct = linkage.written(lines.groupBy("member").agg(F.count("words").alias("brought")), "distinct-lines")
+    got = N._distinct_words(lines, distinct)
+    assert sorted(map(tuple, got.collect())) == sorted(words.items())
+    made, once = N._rows_of(got)
+    assert sorted(r.member for r in made.mapInArrow(once, "member long, words binary").collect()) == sorted(members)
+    asked = linkage.written(spark.createDataFrame([(m,) for m in members[::7]], "member long"), "asked")
+    marks = spark.sparkContext.broadcast(N.marks_of(asked))
+    some = [r.member for r in made.mapInArrow(N._asked(once, marks), "member long, payload binary").collect()]
+    assert set(members[::7]) <= set(some) and len(set(some)) == len(some) < 600
+
+
+def test_simhashes_of_planes_are_those_of_lanes():
+    rng = np.random.default_rng(5)
+    size = np.r_[rng.integers(0, 40, 5000), rng.integers(100, 300, 200), 0, N.PLANED, N.PLANED + 1, 2000]
+    first = np.r_[0, np.cumsum(size)]
+    hashes = rng.integers(0, 1 << 63, first[-1]).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (N._sims(hashes, first) == N._sims_of_long(hashes, first)).all()
+
+
 @pytest.mark.parametrize("later", [[], [(30, 61)], [(5, 900), (61, 901), (901, 30)]])
 def test_components_of_paths_and_links_that_come_later(spark, later):
     edges = [(i, i + 1) for i in range(50)] + [(60, i) for i in range(61, 80)] + [(-7, 100), (-7, 200)]
