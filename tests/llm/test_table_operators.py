@@ -273,6 +273,29 @@ def test_words_of_lines_that_several_tasks_bring_are_taken_once(spark):
     assert set(members[::7]) <= set(some) and len(set(some)) == len(some) < 600
 
 
+def test_line_links_are_those_of_the_edit_distance():
+    rng = random.Random(6)
+    lines = []
+    for k in range(12):
+        base = [rng.randrange(1 << 32) for _ in range(rng.choice([5, 9, 30, 130]))]
+        for _ in range(6):
+            x = list(base)
+            for _ in range(rng.randrange(0, len(x) // 4 + 2)):
+                i = rng.randrange(len(x))
+                rng.choice([lambda: x.pop(i), lambda: x.insert(i, rng.choice(base)), lambda: x.__setitem__(i, rng.randrange(1 << 32)), lambda: x.append(x.pop(i))])()
+                x = x or [1]
+            lines.append(x)
+        lines.append(rng.sample(base, len(base)))
+    packed = [np.array(x, np.uint32).tobytes() for x in lines]
+    linked = N._line_links(0.8)(packed, packed, 1)
+    i, j = (x.ravel() for x in np.indices((len(lines), len(lines))))
+    expected = [x == y or N.edit_distance(lines[x], lines[y]) <= int(N.most_edits(max(len(lines[x]), len(lines[y])), 0.8)) for x, y in zip(i, j, strict=True)]
+    got = [linked(int(x), int(y)) for x, y in zip(i, j, strict=True)]
+    assert got == expected and sum(got) > len(lines) * 2
+    may = linked.may_link(i, j)
+    assert all(m or not e for m, e in zip(may, expected, strict=True)) and may.sum() < len(may) / 4
+
+
 def test_simhashes_of_planes_are_those_of_lanes():
     rng = np.random.default_rng(5)
     size = np.r_[rng.integers(0, 40, 5000), rng.integers(100, 300, 200), 0, N.PLANED, N.PLANED + 1, 2000]
