@@ -214,6 +214,19 @@ def test_pipeline_counts_blocks_in_every_document(spark, monkeypatch):
     assert seen == [(sizes, sum(sizes))]
 
 
+def test_lines_are_taken_out_where_the_text_is(spark):
+    import corpus_pipeline
+
+    texts = ["a\nb\n\nc", "a\n", "\n\n", "", "a", "ä\n\U0001f600\r\nz", "\n".join(map(str, range(3000)))]
+    rows = [(i, x, sorted(g)) for i, x in enumerate(texts) for n in [x.count("\n") + 1] for g in (set(range(n)), {0}, {n - 1}, set(range(0, n, 2)))]
+    got = spark.createDataFrame(rows, "i int, text string, gone array<int>").select("i", "gone", N._without(F.col("text"), F.col("gone")).alias("left")).collect()
+    assert [r.left for r in got] == ["\n".join(p for i, p in enumerate(x.split("\n")) if i not in g) for _, x, g in rows]
+    docs = documents(spark, [(i, prose(700, 8) + "\n" + prose(701 + i, 8)) for i in range(4)])
+    # a Python function would run twice, for the filter and for the text, in workers of its own each time
+    plan = corpus_pipeline.dedup_lines(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_packed_pairs_are_those_of_rows(spark):
     rng = np.random.default_rng(3)
     node, member = rng.integers(-40, 40, 3000), rng.permutation(3000)
