@@ -307,6 +307,30 @@ def test_line_links_are_those_of_the_edit_distance():
     assert got == expected and sum(got) > len(lines) * 2
     may = linked.may_link(i, j)
     assert all(m or not e for m, e in zip(may, expected, strict=True)) and may.sum() < len(may) / 4
+    assert linked.several(i, j).tolist() == expected
+
+
+def test_distances_of_many_pairs():
+    rng = np.random.default_rng(8)
+    for width in (8, 16, 32, 64):
+        n, m = rng.integers(1, width + 1, (2, 40))
+        n[:2] = m[1:3] = width
+        x, y = rng.integers(0, 4, (2, 40, width)).astype(np.uint32)
+        y[::3] = x[::3]
+        got = N._distances(x, y, n, m).tolist()
+        assert got == [N.edit_distance(a[:i].tolist(), b[:j].tolist()) for a, b, i, j in zip(x, y, n, m, strict=True)]
+
+
+def test_hashes_of_short_words():
+    words = [b"a" * n for n in range(1, 140)] + [b"a" * n + b"b" for n in range(140)] + [b"\0" * n for n in range(1, 20)] + [b"", b"word", b"word\0"]
+    for order in (words, words[::-1]):  # wherever a word stands, last in the data as well
+        sizes = np.array([len(w) for w in order])
+        end = np.cumsum(sizes + 1) - 1
+        got = N.K.short_hashes(np.frombuffer(b" ".join(order), np.uint8), end - sizes, end).tolist()
+        seen = dict(zip(order, got, strict=True))
+        assert len(set(got)) == len(words) and (order is words or seen == first)
+        first = seen
+    assert not len(N.K.short_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)))
 
 
 def test_simhashes_of_planes_are_those_of_lanes():
